@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from annolith.llm.decontaminate import contamination_report
+from annolith.llm.exact_dedup import exact_duplicates
+from annolith.llm.link_graph import judge_sql, judge_urls
 from annolith.llm.near_dup import near_duplicates
+from annolith.llm.shard import shuffled_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +21,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffled_shards(_table(spark, sf_dir, "documents"), 40)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
@@ -57,12 +72,22 @@ comp AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coal
 
 OP9_SQL = f"WITH RECURSIVE {jaccard_sql(4, 85)}\nSELECT * FROM comp"
 
+def dedup_sql(docs: str = "documents") -> str:
+    return rf"""SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT *, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM {docs}) WINDOW g AS (PARTITION BY t)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op5_url_filter": op5_url_filter,
+    "op7_shard": op7_shard,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op5_url_filter": judge_sql(),
     "op9_ngram_jaccard": OP9_SQL,
+    "op10_exact_dedup": dedup_sql(),
 }
