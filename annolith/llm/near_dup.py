@@ -7,16 +7,15 @@ The method hashes shingles into groups, takes the counts per group as a point,
 keeps points in an R-tree, bounds a pair's (or subtree's) overlap by the sum of
 coordinate minima and verifies what survives on the sets themselves.  A tree is
 in one task's memory, so the points are dealt to trees first, by a lossless rule
-over the same kind of groups: sets that link differ in fewer shingles than there
-are groups, so they agree on all of at least one group that isn't empty.  Sets
-that agree on a group belong to one *block* (transitively), a block is one tree,
+over the same kind of groups (``Dealer``): sets that link differ in few shingles, so they
+agree on all that some pair of groups holds.  Sets
+that agree so belong to one *block* (transitively), a block is one tree,
 and a block of over ``block_sets`` sets is a grid of trees, each pair of parts
-meeting once.  Sets below ``SMALL`` shingles, where groups would be too few,
-agree on one of their smallest shingle hashes instead (the usual prefix bound).
+meeting once.
 
-What moves: narrow (document, set key) rows; 16 bytes for each group of each
-distinct set, combined per task before the shuffle so that a group that very many sets
-share is sent once per task; and, for sets that share a group with another set
+What moves: narrow (document, set key) rows; 16 bytes for each signature of each
+distinct set, combined per task before the shuffle so that a signature that very many sets
+share is sent once per task; and, for sets that share a signature with another set
 only, the sets.  Copies are one set, so they are never expanded into pairs.
 
 Cases: null texts, empty texts and texts without words have an empty set, link
@@ -29,6 +28,9 @@ hashes: among 10^9 distinct sets the chance that any two share a key is 3 %.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +41,9 @@ from annolith.llm._store import cut
 from annolith.llm.components import components
 
 _U = np.uint64
-#: Below so many shingles sets are dealt by prefixes.
-SMALL = 64
+#: Below so many shingles sets are dealt by choices of FEW of their smallest hashes.
+SMALL = 24
+FEW = 4
 #: Upper ends of the size classes grow by this factor.
 RATIO = 1.6
 BLOCK_SETS = 4000
@@ -79,41 +82,64 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 class Dealer:
-    """Signatures of sets: two sets that link have one in common."""
+    """Signatures of sets: two sets that link have one in common, others hardly ever.
+
+    From ``SMALL`` shingles on, shingles are hashed into groups, three to a block; a signature is the content of two groups of
+    a block.  Linked sets differ in at most d groups of more than 1.5 d, so in some blocks two groups agree.  Passages
+    that two sets share are no signature unless these groups hold nothing else.  Smaller sets take all choices of ``FEW``
+    of their smallest hashes: linked sets share as many of the first n - least overlap + ``FEW``.
+    """
 
     def __init__(self, percent: int):
         self.percent = percent
         self.tops = [SMALL]
         while self.tops[-1] < 1 << 40:
             self.tops.append(int(self.tops[-1] * RATIO) + 1)
-        # the most shingles by which linked sets below a class's top differ, and more groups than that by a quarter
-        self.groups = [0] + [(d := 2 * (t - 1) - 2 * needed(t - 1, t - 1, percent)) + d // 4 + 6 for t in self.tops[1:]]
+        # d: the most shingles by which linked sets below a class's top differ
+        most = [2 * (t - 1) - 2 * needed(t - 1, t - 1, percent) for t in self.tops]
+        self.groups = [3 * _ceil(3 * d // 2 + d // 12 + 9, 3) for d in most]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
-        if n < SMALL or 100 * SMALL > self.percent * n and n >= SMALL:
-            keep = n - _ceil(self.percent * n, 100) + 1
-            out.append(B.mix(s[:keep] ^ _U(0x5851F42D4C957F2D)))
+        largest = 100 * n // self.percent
+        if n + largest == 2 * needed(n, largest, self.percent):
+            return s[:0]  # links with equal sets only
+        if self.percent * n < 100 * SMALL:
+            least = _ceil(self.percent * n, 100)
+            few = min(FEW, least)
+            x = s[_choices(n - least + few, few)]
+            with np.errstate(over="ignore"):
+                total = x[:, 0].copy()
+                for k in range(1, few):
+                    total = B.mix(total) + x[:, k]
+                out.append(B.mix(total ^ _U(0x5851F42D4C957F2D)))
         if n * 100 >= self.percent * SMALL:
             own = int(np.searchsorted(self.tops, n, "right"))  # tops[own - 1] <= n < tops[own]
             if own:
                 out.append(self._grouped(s, own))
             if 100 * n >= self.percent * self.tops[own]:
                 out.append(self._grouped(s, own + 1))
-        return np.unique(np.concatenate(out)) if out else s[:0]
+        return np.concatenate(out)
 
     def _grouped(self, s: np.ndarray, level: int) -> np.ndarray:
-        """A hash of each group's shingles, for groups that have any."""
+        """A hash of each two groups of a block, unless both are empty."""
         count = self.groups[level]
         with np.errstate(over="ignore"):
-            x = B.mix(s + _U(level))
-            group = ((x >> _U(32)) * _U(count) >> _U(32)).astype(np.int64)
-            y = B.mix(x ^ _U(0xD6E8FEB86659FD93))
-            low = np.bincount(group, (y & _U(0xFFFFFFFF)).astype(np.float64), count)
-            high = np.bincount(group, (y >> _U(32)).astype(np.float64), count)
-            size = np.bincount(group, minlength=count)
-            full = np.flatnonzero(size)
-            return B.mix(low[full].astype(_U) * _U(0x9E3779B97F4A7C15) + B.mix(high[full].astype(_U) + (full.astype(_U) << _U(40)) + _U(level)))
+            x = s * _U(0xD6E8FEB86659FD93 + 2 * level)  # hashes already; other groups at each level
+            x ^= x >> _U(29)
+            upper = x >> _U(32)
+            group = (upper * _U(count) >> _U(32)).astype(np.int64)
+            low = np.bincount(group, x.astype(np.uint32), count).astype(_U)
+            high = np.bincount(group, upper, count).astype(_U)
+            c = B.mix(low * _U(0x9E3779B97F4A7C15) + B.mix(high + (np.arange(count).astype(_U) << _U(40)) + _U(level))).reshape(-1, 3)
+            size = np.bincount(group, minlength=count).reshape(-1, 3)
+            first, second = [0, 0, 1], [1, 2, 2]
+            return B.mix(B.mix(c[:, first]) + c[:, second])[size[:, first] + size[:, second] > 0]
+
+
+@lru_cache(maxsize=256)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64)
 
 
 class CountVectorTree:
@@ -217,7 +243,7 @@ def _fresh(batches, column: int, size: int, limit: int = 1 << 19):
 
 def _combined(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One (signature, key) row of each signature, and (key, key) edges that stand for the others."""
-    order = np.lexsort((key, sig))
+    order = np.argsort(sig)
     sig, key = sig[order], key[order]
     first = np.concatenate([[True], sig[1:] != sig[:-1]])
     root = key[first][np.cumsum(first) - 1]
@@ -249,6 +275,8 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int) ->
 
         for k, s in _fresh(batches, 0, size):
             x = dealer.signatures(s)
+            if not len(x):
+                continue
             held.append((x, k))
             bytes_held += 16 * len(x)
             if bytes_held >= FLUSH_BYTES:
@@ -352,7 +380,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = cut(_keys(docs, size))
     classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, int(total * 0.45 * 16 / BUCKET_BYTES) + 1)
+    buckets = max(1, int(total * 0.6 * 16 / BUCKET_BYTES) + 1)
     blocks = components(_candidate_edges(docs, size, percent, buckets))
     labels = components(_true_links(docs, blocks, size, percent, block_sets))
     member = labels.join(classes.select(F.col("key").alias("vertex"), "least"), "vertex")
