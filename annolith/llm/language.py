@@ -186,7 +186,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
         return Model([], np.zeros((2, 0, 1 << BITS), np.float32))
     keep = F.lit(False)
     for name in langs:
-        keep = keep | ((F.col("lang") == name) & (F.col("h") <= int(min(1.0, sample / sizes[name]) * (2**63 - 1))))
+        keep = keep | ((F.col("lang") == name) & (F.col("h") <= min(2**63 - 1, sample * 2**63 // sizes[name])))
 
     def count(batches):
         total: dict[tuple[str, int], np.ndarray] = {}
