@@ -241,7 +241,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.34) -> DataFrame:
     """``docs`` without the rows that have no language: no letter, or no language with a share of ``least``."""
     at = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)

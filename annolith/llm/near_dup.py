@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
+from annolith.llm import _sieve
 from annolith.llm._store import cut
 from annolith.llm.components import components
 
@@ -392,6 +393,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id (rows that share it all stay)."""
-    name = "__annolith_keep"
-    keep = near_duplicates(docs, doc_id, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(keep, docs[doc_id].eqNullSafe(keep[name]), "left_semi")
+    found = near_duplicates(docs, doc_id, **options)
+    kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut(found.groupBy("doc_id").agg(kept.alias("kept")).where("not kept").select("doc_id"))
+    return _sieve.drop_rows(docs, {"doc_id": F.col(doc_id)}, gone)

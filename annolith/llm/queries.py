@@ -15,6 +15,7 @@ from annolith.llm.language import identify
 from annolith.llm.link_graph import judge_sql, judge_urls
 from annolith.llm.near_dup import near_duplicates
 from annolith.llm.packing import packed_pieces
+from annolith.llm.pii import find_identifiers
 from annolith.llm.shard import shuffled_shards
 
 
@@ -41,6 +42,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_identifiers(_table(spark, sf_dir, "documents"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled_shards(_table(spark, sf_dir, "documents"), 40)
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_url_filter": op5_url_filter,
+    "op6_pii": op6_pii,
     "op7_shard": op7_shard,
     "op8_packing": op8_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
