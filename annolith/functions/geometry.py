@@ -87,12 +87,12 @@ def canvas_to_source(p: str, t: str) -> str:
 
 def transform_valid(t: str) -> str:
     """The invariants of a view transform as one condition."""
-    numbers = [f"{t}.{n}" for n in ("source_width", "source_height", "scale", "pad_x", "pad_y", "canvas_width", "canvas_height")] + [f"{t}.crop_box[{i}]" for i in range(4)]
+    numbers = [f"{t}.{n}" for n in ("source_width", "source_height", "scale", "pad_x", "pad_y", "canvas_width", "canvas_height")] + [f"get({t}.crop_box, {i})" for i in range(4)]
     finite = " and ".join(f"(not isnan({n}) and abs({n}) < double('infinity'))" for n in numbers)
-    inside = f"{t}.crop_box[0] + {t}.crop_box[2] <= {t}.source_width and {t}.crop_box[1] + {t}.crop_box[3] <= {t}.source_height"
-    sized = " and ".join(f"{t}.resized_{n} >= 1 and {t}.resized_{n} = greatest(1, cast({t}.crop_box[{i}] * {t}.scale as int))" for n, i in (("width", 2), ("height", 3)))
+    inside = f"get({t}.crop_box, 0) + get({t}.crop_box, 2) <= {t}.source_width and get({t}.crop_box, 1) + get({t}.crop_box, 3) <= {t}.source_height"
+    sized = " and ".join(f"{t}.resized_{n} >= 1 and {t}.resized_{n} = greatest(1, cast(get({t}.crop_box, {i}) * {t}.scale as int))" for n, i in (("width", 2), ("height", 3)))
     fits = f"{t}.resized_width + {t}.pad_x <= {t}.canvas_width and {t}.resized_height + {t}.pad_y <= {t}.canvas_height"
-    signs = f"{t}.source_width > 0 and {t}.source_height > 0 and {t}.scale > 0 and {t}.crop_box[2] > 0 and {t}.crop_box[3] > 0 and {t}.crop_box[0] >= 0 and {t}.crop_box[1] >= 0 and {t}.pad_x >= 0 and {t}.pad_y >= 0 and {t}.canvas_width > 0 and {t}.canvas_height > 0"
+    signs = f"{t}.source_width > 0 and {t}.source_height > 0 and {t}.scale > 0 and get({t}.crop_box, 2) > 0 and get({t}.crop_box, 3) > 0 and get({t}.crop_box, 0) >= 0 and get({t}.crop_box, 1) >= 0 and {t}.pad_x >= 0 and {t}.pad_y >= 0 and {t}.canvas_width > 0 and {t}.canvas_height > 0"
     return f"coalesce({t}.schema_version = 1 and size({t}.crop_box) = 4 and {finite} and {signs} and {inside} and {sized} and {fits}, false)"
 
 

@@ -45,7 +45,9 @@ def parse(lines: DataFrame, value: str = "value", strict_shape: bool = False) ->
     )
     out = parts.withColumn("points", points)
     if strict_shape:
-        bad = bad.when(F.expr(f"size(array_distinct(points)) < 3 or {G.area('points')} <= 0"), "ZERO_AREA_LABEL_POLYGON")
+        # the one-element array binds the vertices to a name, so that they are made once
+        flat = f"transform(array(points), p -> size(array_distinct(p)) < 3 or {G.area('p')} <= 0)[0]"
+        bad = bad.when(F.expr(flat), "ZERO_AREA_LABEL_POLYGON")
     return out.withColumn("error", bad).drop("tokens", "numeric", "coords")
 
 
