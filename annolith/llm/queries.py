@@ -17,12 +17,18 @@ from annolith.llm.near_dup import near_duplicates
 from annolith.llm.packing import packed_pieces
 from annolith.llm.pii import find_identifiers
 from annolith.llm.shard import shuffled_shards
+from annolith.llm.warc import derivatives, derivatives_sql, responses
+from annolith.llm.warc import read_back as read_records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(derivatives(responses(_table(spark, sf_dir, "pages"))))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -114,6 +120,7 @@ FROM (SELECT *, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_language_id": op2_language_id,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
@@ -126,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": derivatives_sql(),
     "op3_decontaminate": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op5_url_filter": judge_sql(),
