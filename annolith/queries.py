@@ -103,8 +103,9 @@ def clip_half_plane(spark, sf_dir):
 
 @query()
 def clip_to_rect(spark, sf_dir):
-    triangles = _polygons(spark, sf_dir).withColumn("p", F.expr("slice(p, 1, 3)"))
-    clipped = triangles.withColumn("q", G.clip_to_rect(F.col("p"), F.expr("array(-0.1D, -0.1D, 0.1D, 0.1D)")))
+    angle = "signum(atan2(a.y, a.x) - atan2(b.y, b.x))"  # sorted by angle, vertices make a star-shaped polygon
+    stars = _polygons(spark, sf_dir).withColumn("p", F.expr(f"array_sort(p, (a, b) -> cast({angle} as int))"))
+    clipped = stars.withColumn("q", G.clip_to_rect(F.col("p"), F.expr("array(-0.1D, -0.1D, 0.1D, 0.1D)")))
     return clipped.select("vec_id", F.expr("cast(size(q) as bigint)").alias("n"), _r(G.area("q"), 9).alias("area"), _r(G.area("p"), 9).alias("source_area"))
 
 
@@ -161,7 +162,7 @@ def rle_roundtrip(spark, sf_dir):
 
 @query()
 def raster_fill(spark, sf_dir):
-    p = _polygons(spark, sf_dir).withColumn("flat", F.expr("flatten(transform(slice(p, 1, 5), v -> array(16 + 40 * v.x, 16 + 40 * v.y)))"))
+    p = _polygons(spark, sf_dir).withColumn("flat", F.expr("flatten(transform(p, v -> array(16 + 40 * v.x, 16 + 40 * v.y)))"))
     runs = p.withColumn("runs", raster.fill_runs(F.col("flat"), F.lit(32)))
     return runs.select("vec_id", "runs", F.expr("cast(aggregate(runs, 0, (s, n) -> s + n) as bigint)").alias("pixels"))
 
