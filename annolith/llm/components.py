@@ -1,11 +1,12 @@
 """Connected components of an edge table, by alternating minimum labels.
 
-Each round sends every vertex's smallest known label to its neighbours' labels
+Each round joins every vertex's neighbours to the smallest of its neighbourhood
 (large star, then small star), which halves the distance to the root at least,
 so rounds grow with the logarithm of the longest chain.  Aggregations combine
-before they shuffle, so a vertex with very many edges is no hot key: each edge
-is a (vertex, label) row and only minima move.  Nothing is collected but one
-count per round.
+before they shuffle.  A vertex with over ``1 / HEAVY`` of the edges meets its
+neighbours in a broadcast of such vertices, of which there are no more than a few times
+``HEAVY``, so that the root of a very large component is no hot key.  Nothing is
+collected but counts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,18 @@ from pyspark.sql import functions as F
 from annolith.llm._store import cut
 
 
+#: A vertex of more than this share of the edges is heavy.
+HEAVY = 1000
+
+
+def _joined(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """(v, p, m): edges with the smallest neighbour of v; ``low`` has v, m and the number of edges d."""
+    heavy = F.broadcast(low.where(F.col("d") * HEAVY > total).select("v", "m"))
+    light = low.where(F.col("d") * HEAVY <= total).select("v", "m")
+    rest = edges.join(heavy.select("v"), "v", "left_anti").join(light, "v")
+    return edges.join(heavy, "v").select("v", "p", "m").unionByName(rest.select("v", "p", "m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root): root is the smallest vertex reachable; vertices are those that occur in ``edges``.
 
@@ -24,14 +37,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     labels = cut(links.selectExpr("greatest(a, b) as v", "least(a, b) as p").groupBy("v", "p").agg(F.lit(1).alias("n")).drop("n"))
     while True:
+        total = labels.count()
         # large star: every neighbour above v joins the smallest of v's neighbourhood
         both = labels.unionAll(labels.selectExpr("p as v", "v as p"))
-        low = both.groupBy("v").agg(F.least(F.min("p"), F.first("v")).alias("m"))
-        large = both.where("p >= v").join(low, "v").selectExpr("p as v", "m as p").unionAll(low.selectExpr("v", "m as p"))
+        low = both.groupBy("v").agg(F.least(F.min("p"), F.first("v")).alias("m"), F.count(F.lit(1)).alias("d"))
+        large = _joined(both.where("p >= v"), low, total).selectExpr("p as v", "m as p").unionAll(low.selectExpr("v", "m as p"))
         large = large.groupBy("v", "p").agg(F.lit(1).alias("n")).drop("n")
         # small star: v and its smaller neighbours join the smallest of them
-        low = large.groupBy("v").agg(F.min("p").alias("m"))
-        new = large.join(low, "v").selectExpr("p as v", "m as p").unionAll(low.selectExpr("v", "m as p"))
+        low = large.groupBy("v").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("d"))
+        new = _joined(large, low, total).selectExpr("p as v", "m as p").unionAll(low.selectExpr("v", "m as p"))
         new = cut(new.groupBy("v", "p").agg(F.lit(1).alias("n")).drop("n"))
         # done when every vertex has one label and every label is its own
         state = new.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("p"))

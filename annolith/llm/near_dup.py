@@ -8,15 +8,14 @@ keeps points in an R-tree, bounds a pair's (or subtree's) overlap by the sum of
 coordinate minima and verifies what survives on the sets themselves.  A tree is
 in one task's memory, so the points are dealt to trees first, by a lossless rule
 over the same kind of groups (``Dealer``): sets that link differ in few shingles, so they
-agree on all that some pair of groups holds.  Sets
-that agree so belong to one *block* (transitively), a block is one tree,
+agree on all that several pairs of groups hold.  Sets
+that agree on enough belong to one *block* (transitively), a block is one tree,
 and a block of over ``block_sets`` sets is a grid of trees, each pair of parts
 meeting once.
 
-What moves: narrow (document, set key) rows; 16 bytes for each signature of each
+What moves: narrow (document, set key) rows; 17 bytes for each signature of each
 distinct set, combined per task before the shuffle so that a signature that very many sets
-share is sent once per task; and, for sets that share a signature with another set
-only, the sets.  Copies are one set, so they are never expanded into pairs.
+share is sent once per task; and, for sets in a block with another set only, the sets.  Copies are one set, so they are never expanded into pairs.
 
 Cases: null texts, empty texts and texts without words have an empty set, link
 with nothing and are their own component.  Texts with fewer words than a shingle
@@ -45,10 +44,14 @@ _U = np.uint64
 #: Below so many shingles sets are dealt by choices of FEW of their smallest hashes.
 SMALL = 24
 FEW = 4
+#: Linked sets agree on so many signatures (but those of few shingles, of which they share one).
+AGREE = 3
+#: Sets that have a signature of more sets are not compared in pairs for it.
+MANY = 64
 #: Upper ends of the size classes grow by this factor.
 RATIO = 1.6
 BLOCK_SETS = 4000
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 24 << 20
 _BLOOM_BITS = 1 << 25
 
@@ -83,12 +86,12 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 class Dealer:
-    """Signatures of sets: two sets that link have one in common, others hardly ever.
+    """Signatures of sets: two sets that link have ``AGREE`` in common, others hardly ever.
 
     From ``SMALL`` shingles on, shingles are hashed into groups, three to a block; a signature is the content of two groups of
-    a block.  Linked sets differ in at most d groups of more than 1.5 d, so in some blocks two groups agree.  Passages
+    a block.  Linked sets differ in at most d groups of more than 1.5 d + 3 ``AGREE``, so in more than ``AGREE`` blocks two groups agree.  Passages
     that two sets share are no signature unless these groups hold nothing else.  Smaller sets take all choices of ``FEW``
-    of their smallest hashes: linked sets share as many of the first n - least overlap + ``FEW``.
+    of their smallest hashes, marked by the lowest bit: linked sets share as many of the first n - least overlap + ``FEW``, so one choice at least.
     """
 
     def __init__(self, percent: int):
@@ -98,7 +101,7 @@ class Dealer:
             self.tops.append(int(self.tops[-1] * RATIO) + 1)
         # d: the most shingles by which linked sets below a class's top differ
         most = [2 * (t - 1) - 2 * needed(t - 1, t - 1, percent) for t in self.tops]
-        self.groups = [3 * _ceil(3 * d // 2 + d // 12 + 9, 3) for d in most]
+        self.groups = [3 * _ceil(3 * d // 2 + d // 12 + 3 + 3 * AGREE, 3) for d in most]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
@@ -113,7 +116,7 @@ class Dealer:
                 total = x[:, 0].copy()
                 for k in range(1, few):
                     total = B.mix(total) + x[:, k]
-                out.append(B.mix(total ^ _U(0x5851F42D4C957F2D)))
+                out.append(B.mix(total ^ _U(0x5851F42D4C957F2D)) | _U(1))
         if n * 100 >= self.percent * SMALL:
             own = int(np.searchsorted(self.tops, n, "right"))  # tops[own - 1] <= n < tops[own]
             if own:
@@ -135,7 +138,7 @@ class Dealer:
             c = B.mix(low * _U(0x9E3779B97F4A7C15) + B.mix(high + (np.arange(count).astype(_U) << _U(40)) + _U(level))).reshape(-1, 3)
             size = np.bincount(group, minlength=count).reshape(-1, 3)
             first, second = [0, 0, 1], [1, 2, 2]
-            return B.mix(B.mix(c[:, first]) + c[:, second])[size[:, first] + size[:, second] > 0]
+            return B.mix(B.mix(c[:, first]) + c[:, second])[size[:, first] + size[:, second] > 0] & ~_U(1)
 
 
 @lru_cache(maxsize=256)
@@ -242,18 +245,53 @@ def _fresh(batches, column: int, size: int, limit: int = 1 << 19):
                 yield key, s
 
 
-def _combined(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One (signature, key) row of each signature, and (key, key) edges that stand for the others."""
-    order = np.argsort(sig)
-    sig, key = sig[order], key[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]])
-    root = key[first][np.cumsum(first) - 1]
-    pairs = np.stack([key, root], axis=1)[key != root]
-    return sig[first], key[first], np.unique(pairs, axis=0) if len(pairs) else pairs
+class Runs:
+    """(signature, key) rows sorted into runs of one signature.  ``wide``: rows that stand for more sets than ``many``."""
+
+    def __init__(self, sig: np.ndarray, key: np.ndarray, wide: np.ndarray, many: int):
+        order = np.lexsort((key, sig))
+        sig, key, wide = sig[order], key[order], wide[order]
+        new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]))
+        self.sig, self.key, wide = sig[new], key[new], np.maximum.reduceat(wide, new)
+        self.at = np.flatnonzero(np.concatenate([[True], self.sig[1:] != self.sig[:-1]]))
+        self.n = np.diff(self.at, append=len(self.sig))
+        self.few = (self.sig[self.at] & _U(1)) == 1
+        self.wide = ((self.n > many) | (np.maximum.reduceat(wide, self.at) > 0)) & ~self.few
+        self.root = np.repeat(self.key[self.at], self.n)
+
+    def rows(self, runs: np.ndarray) -> np.ndarray:
+        return np.repeat(runs, self.n)
+
+    def pairs(self) -> np.ndarray:
+        """(a, b), a < b, of runs that are neither wide nor of few shingles, once for each run."""
+        out = [np.zeros((0, 2), np.int64)]
+        for n in np.unique(self.n[(self.n > 1) & ~self.wide & ~self.few]):
+            begin = self.at[(self.n == n) & ~self.wide & ~self.few]
+            out.append(self.key[begin[:, None, None] + _choices(int(n), 2)[None]].reshape(-1, 2))
+        return np.concatenate(out)
+
+
+EDGES = "wide boolean, a long, b long, n long"
+
+
+def _edges(wide: bool, ends: np.ndarray, weight: int):
+    """Batches of distinct (a, b) with their number times the weight."""
+    if len(ends):
+        ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
+        new = np.flatnonzero(np.concatenate([[True], (ends[1:] != ends[:-1]).any(axis=1)]))
+        n = np.diff(new, append=len(ends)) * weight
+        for i in range(0, len(new), 1 << 16):
+            part = new[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), wide)), pa.array(ends[part, 0].copy()), pa.array(ends[part, 1].copy()), pa.array(n[i : i + (1 << 16)])], ["wide", "a", "b", "n"])
+
 
+def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, many: int) -> DataFrame:
+    """(a, b) edges between keys of sets, enough to connect all that may link.
 
-def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """(a, b) edges between keys of sets that have a signature in common, enough to connect all of these."""
+    Linked sets agree on ``AGREE`` signatures.  Those that at most ``many`` sets have count for each pair of these; the others count for each set and
+    connect it to one of them.  A pair stays if its own signatures and the fewer of both sets' others may make ``AGREE``; an
+    edge of the other kind stays if the set has as many.
+    """
     dealer = Dealer(percent)
 
     def send(batches):
@@ -261,18 +299,26 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int) ->
 
         def flush():
             sig = np.concatenate([x for x, _ in held])
-            key = np.repeat(np.array([k for _, k in held], dtype=np.int64), [len(x) for x, _ in held])
-            sig, key, pairs = _combined(sig, key)
-            to = (sig % _U(buckets)).astype(np.int64)
+            r = Runs(sig, np.repeat(np.array([k for _, k in held], dtype=np.int64), [len(x) for x, _ in held]), np.zeros(len(sig), np.uint8), many)
+            wide, few = r.rows(r.wide), r.rows(r.few)
+            stay = (wide | few) & (r.key != r.root)  # a signature of many sets, or of few shingles, is sent once
+            yield from message(wide[stay], np.stack([r.key, r.root], axis=1)[stay])
+            sig, key, wide = r.sig[~stay], r.key[~stay], wide[~stay]
+            to = (sig >> _U(1)) % _U(buckets)
             order = np.argsort(to, kind="stable")
-            sig, key, to = sig[order], key[order], to[order]
+            sig, key, wide, to = sig[order], key[order], wide[order], to[order].astype(np.int64)
             at = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
             for i in range(0, len(at) - 1, 4096):
                 part = list(zip(at[i : i + 4096], at[i + 1 : i + 4097], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in part]]), pa.array([sig[a:b].tobytes() for a, b in part], pa.binary()), pa.array([key[a:b].tobytes() for a, b in part], pa.binary())], ["bucket", "sig", "key"])
-            for i in range(0, len(pairs), 65536):
-                p = pairs[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([i % buckets], pa.int64()), pa.array([None], pa.binary()), pa.array([p.tobytes()], pa.binary())], ["bucket", "sig", "key"])
+                yield batch(to[[a for a, _ in part]], [[x[a:b].tobytes() for a, b in part] for x in (sig, key, wide.astype(np.uint8))])
+
+        def message(wide, ends):
+            """Edges found here already, on their way to any bucket."""
+            for i in range(0, len(ends), 65536):
+                yield batch([(i + int(ends[i, 0])) % buckets], [[None], [ends[i : i + 65536].tobytes()], [wide[i : i + 65536].astype(np.uint8).tobytes()]])
+
+        def batch(to, columns):
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "sig", "key", "wide"])
 
         for k, s in _fresh(batches, 0, size):
             x = dealer.signatures(s)
@@ -287,29 +333,41 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int) ->
             yield from flush()
 
     def meet(batches):
-        def edges(sigs, keys):
-            if sigs:
-                _, _, pairs = _combined(np.concatenate(sigs), np.concatenate(keys))
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-        at, sigs, keys = None, [], []
+        def found(held):
+            if held:
+                r = Runs(*(np.concatenate(x) for x in zip(*held, strict=True)), many)
+                wide, few = r.rows(r.wide), r.rows(r.few)
+                ends = np.stack([r.key, r.root], axis=1)
+                yield from _edges(False, r.pairs(), 1)
+                yield from _edges(False, ends[few & (r.key != r.root)], AGREE)
+                yield from _edges(True, ends[wide], 1)
+
+        at, held = None, []
         for batch in batches:
-            for bucket, sig, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                k = np.frombuffer(key.as_buffer(), np.int64)
+            for bucket, sig, key, wide in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                k, w = np.frombuffer(key.as_buffer(), np.int64).copy(), np.frombuffer(wide.as_buffer(), np.uint8).copy()
                 if not sig.is_valid:
-                    p = k.reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+                    ends = k.reshape(-1, 2)
+                    yield from _edges(True, ends[w == 1], 1)
+                    yield from _edges(False, ends[w == 0], AGREE)
                     continue
                 if bucket != at:
-                    yield from edges(sigs, keys)
-                    at, sigs, keys = bucket, [], []
-                sigs.append(np.frombuffer(sig.as_buffer(), _U).copy())
-                keys.append(k.copy())
-        yield from edges(sigs, keys)
-
-    sent = docs.select("text").mapInArrow(send, "bucket long, sig binary, key binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+                    yield from found(held)
+                    at, held = bucket, []
+                held.append((np.frombuffer(sig.as_buffer(), _U).copy(), k, w))
+        yield from found(held)
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, sig binary, key binary, wide binary")
+    met = cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, EDGES))
+    star = met.where("wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    others = cut(star.groupBy("a").agg(F.sum("n").alias("n")))
+    pair = met.where("not wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sure = pair.where(F.col("n") >= AGREE).select("a", "b")
+    # the others' sets, if both have signatures of many sets that may make up for what is missing
+    maybe = pair.where(F.col("n") < AGREE).join(others.select("a", F.col("n").alias("na")), "a").join(others.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
+    maybe = maybe.where(F.col("n") + F.least("na", "nb") >= AGREE).select("a", "b")
+    starred = star.select("a", "b").join(others.where(F.col("n") >= AGREE).select("a"), "a", "left_semi").where("a <> b")
+    return sure.unionByName(maybe).unionByName(starred.select("a", "b"))
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -375,14 +433,14 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
     return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, many: int = MANY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = cut(_keys(docs, size))
     classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, int(total * 0.6 * 16 / BUCKET_BYTES) + 1)
-    blocks = components(_candidate_edges(docs, size, percent, buckets))
+    buckets = max(1, int(total * 0.8 * 17 / BUCKET_BYTES) + 1)
+    blocks = components(_candidate_edges(docs, size, percent, buckets, many))
     labels = components(_true_links(docs, blocks, size, percent, block_sets))
     member = labels.join(classes.select(F.col("key").alias("vertex"), "least"), "vertex")
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
