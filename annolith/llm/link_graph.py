@@ -28,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 10**12
 DAMPING = 85
 STEPS = 10
+#: A host of more than this share of the pages is heavy.
+HEAVY = 1000
 THRESHOLD = SCALE * (100 - DAMPING) // 200
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -99,7 +101,12 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     seeds = shares.selectExpr("0 as kind", "host", f"{SCALE}L * good div n as seed").unionAll(shares.selectExpr("1 as kind", "host", f"{SCALE}L * bad div n as seed"))
     score = propagate(host_edges(seen, "html"), seeds, steps)
     standing = score.groupBy("host").agg(F.sum(F.expr("if(kind = 0, score, 0L)")).alias("trust"), F.sum(F.expr("if(kind = 1, score, 0L)")).alias("distrust"))
-    out = narrow.join(standing, "host", "left").select("page_id", "host", "path", "rule", "rule_verdict", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
+    # hosts of over 1 / HEAVY of the pages are broadcast (fewer than HEAVY can be), so that they are no hot keys
+    total = shares.agg(F.sum("n")).first()[0] or 0
+    heavy = shares.where(F.col("n") * HEAVY > total).select("host")
+    joined = narrow.join(F.broadcast(heavy.join(standing, "host", "left")), "host")
+    rest = narrow.join(F.broadcast(heavy), "host", "left_anti").join(standing, "host", "left")
+    out = joined.unionByName(rest).select("page_id", "host", "path", "rule", "rule_verdict", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
     verdict = F.coalesce("rule_verdict", F.expr(f"if(distrust - trust > {THRESHOLD}L, 'block', 'allow')"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
