@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -21,6 +22,9 @@ _UNIT = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sA-Za-z0-9{_LE
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _STOP = re.compile(r"[.!?…。！？]")
 KEPT = 500_000
+# byte-level BPE's characters: printable bytes stand for themselves, the others for 256 on
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _SELF else 256 + sum(c not in _SELF for c in range(b)) for b in range(256)}
 _workers: dict[str, Encoder] = {}
 
 
@@ -32,9 +36,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 3, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._reset()
 
     @classmethod
@@ -57,23 +58,19 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.at[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + m] = sizes
-        self.stop[n : n + m] = [u[0] == "\n" or (not u[0].isalnum() and _STOP.search(u) is not None) for u in units]
+        self.stop[n : n + m] = [not u[0].isalnum() and (u[0] == "\n" or _STOP.search(u) is not None) for u in units]
         self.used += len(ids)
         self.code.update(zip(units, range(n, n + m), strict=True))
 
     def _learn(self, missing: list[str]) -> None:
-        plain, other = [], []
-        for u in missing:
-            (other if u[0] == "\n" or _UNPLAIN.search(u) else plain).append(u)
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            assert len(last) == len(part)
-            self._keep(part, ids, np.diff(last, prepend=-1))
-        if other:
-            found = [[] if u[0] == "\n" else self.tokenizer.encode(u, add_special_tokens=False).ids for u in other]
-            self._keep(other, np.array([x for f in found for x in f], dtype=np.uint32), np.array([len(f) for f in found]))
+        plain, other = missing, []
+        if _UNPLAIN.search(" ".join(missing)):
+            plain, other = [u for u in missing if not _UNPLAIN.search(u)], [u for u in missing if _UNPLAIN.search(u)]
+        # plain units need no normalising: they go to the merges as they are, a character for each byte
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(u.encode().decode("latin-1").translate(_BYTES))] if u[0] != "\n" else [] for u in plain]
+        found += [self.tokenizer.encode(u, add_special_tokens=False).ids for u in other]
+        self._keep(plain + other, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -90,14 +87,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, each text's end among them, and the places (in all ids) where a sentence ends within a text."""
         lists = [self.units(t) for t in texts]
-        units = [u for x in lists for u in x]
+        units = list(chain.from_iterable(lists))
         if len(self.code) > KEPT:
             self._reset()
-        missing = list({u for u in units if u not in self.code})
+        missing = list(set(units).difference(self.code))
         if missing:
             self._learn(missing)
         which = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
         size = self.size[which]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.at[which] - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[np.cumsum([len(x) for x in lists])], np.unique(ends[1:][self.stop[which]])
+        stops = ends[1:][self.stop[which]]
+        return ids, ends[np.cumsum([len(x) for x in lists])], stops[np.diff(stops, prepend=0) > 0]
