@@ -18,3 +18,42 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared folder: lost executors lose nothing, and earlier stages are not run again."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes that a Python worker gets at once (Spark's own default is 64 MB, of which several copies are in memory).
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after Arrow batches of its session were limited to 8 MB, unless the session has a limit of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, "67108864b") == "67108864b":
+        conf.set(BATCH_BYTES, "8m")
+    return df
+
+
+def tidy() -> None:
+    """Give memory that a task no longer needs back, as Python workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def tidied(run):
+    """A function over batches that tidies up when a task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped

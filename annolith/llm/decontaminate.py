@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolith.llm import _bytes as B
+from annolith.llm._store import bounded, tidied
 
 BLOCK_WORDS = 50_000
 _BITS = 20
@@ -232,7 +233,7 @@ def _rarity(docs: DataFrame, text: str, block) -> dict[tuple[int, int], int]:
                     keys, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "key", "n"])
 
-    counted = docs.select(F.col(text)).mapInArrow(count, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text)).mapInArrow(tidied(count), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
     return {(k, key): n for k, key, n in counted.toLocalIterator()}  # no more rows than the block has shingles
 
 
@@ -242,7 +243,7 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
     A column of ``docs`` that is called ``into`` already is replaced.
     """
     shingle = min(shingle, window)
-    out = docs.drop(into)
+    out = bounded(docs).drop(into)
     schema = T.StructType([*out.schema.fields, T.StructField(into, _STATE)])
     at = out.columns.index(text)
     out = out.withColumn(into, F.lit(None).cast(_STATE))
@@ -264,7 +265,7 @@ def _marker(block, at: int):
             state = _mark(block.value, batch.column(at), batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(state, _ARROW_STATE)], batch.schema.names)
 
-    return mark
+    return tidied(mark)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
+from annolith.llm._store import bounded, tidied
 
 SAMPLE = 1500
 BITS = 17
@@ -179,7 +180,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
 
     The driver gets a count for each language and at most ``2 * 2**BITS`` counts of each.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1).alias("h"))
+    rows = bounded(labelled).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text)), 1).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -206,7 +207,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
             full = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.string()), pa.array([kind] * len(full), pa.int32()), pa.array(full), pa.array(held[full])], ["lang", "kind", "bucket", "n"])
 
-    counted = rows.where(keep).select("lang", "text").mapInArrow(count, "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.where(keep).select("lang", "text").mapInArrow(tidied(count), "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     tables = np.full((2, len(langs), 1 << BITS), 0.5)
     place = np.array([langs.index(x) for x in counted.column("lang").to_pylist()], dtype=np.int64)
     kind, bucket, n = (counted.column(c).to_numpy() for c in ("kind", "bucket", "n"))
@@ -221,7 +222,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "score")
+    docs = bounded(docs).drop("lang_pred", "score")
     at = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -231,7 +232,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(tidied(run), f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
@@ -243,7 +244,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.34) -> DataFrame:
     """``docs`` without the rows that have no language: no letter, or no language with a share of ``least``."""
-    at = docs.columns.index(text)
+    at = bounded(docs).columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -251,4 +252,4 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
             langs, scores = held.value.predict(batch.column(at))
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
 from annolith.llm import _sieve
-from annolith.llm._store import cut
+from annolith.llm._store import bounded, cut, tidied
 from annolith.llm.components import components
 
 _U = np.uint64
@@ -52,7 +52,7 @@ MANY = 64
 RATIO = 1.6
 BLOCK_SETS = 4000
 BUCKET_BYTES = 4 << 20
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 _BLOOM_BITS = 1 << 25
 
 
@@ -230,7 +230,7 @@ def _keys(docs: DataFrame, size: int) -> DataFrame:
             found = [(len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64())], ["doc_id", "n", "key"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, key long")
+    return docs.mapInArrow(tidied(run), f"doc_id {docs.schema[0].dataType.simpleString()}, n long, key long")
 
 
 def _fresh(batches, column: int, size: int, limit: int = 1 << 19):
@@ -357,8 +357,8 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
                 held.append((np.frombuffer(sig.as_buffer(), _U).copy(), k, w))
         yield from found(held)
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, sig binary, key binary, wide binary")
-    met = cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, EDGES))
+    sent = docs.select("text").mapInArrow(tidied(send), "bucket long, sig binary, key binary, wide binary")
+    met = cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), EDGES))
     star = met.where("wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
     others = cut(star.groupBy("a").agg(F.sum("n").alias("n")))
     pair = met.where("not wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -403,7 +403,7 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
 
     counts = blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("parts"))
     placed = blocks.join(counts, "root").select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
-    sets = docs.select("text").mapInArrow(pick, "vertex long, shingles binary").join(placed, "vertex")
+    sets = docs.select("text").mapInArrow(tidied(pick), "vertex long, shingles binary").join(placed, "vertex")
     # part i of k meets every part j: tree (i, j) with i <= j
     met = sets.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "shingles")
 
@@ -430,12 +430,12 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
                     held[vertex[r]] = part[r], np.frombuffer(batch.column(5)[r].as_buffer(), _U).copy()
         yield from done(at, held)
 
-    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(join, "a long, b long")
+    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(tidied(join), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, many: int = MANY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     keyed = cut(_keys(docs, size))
     classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolith.llm._store import bounded, tidied
 from annolith.llm.tokens import Encoder
 
 LENGTH = 2048
@@ -140,7 +141,7 @@ def packed_pieces(
     tokenizer: path of the tokenizer's file, the same on all executors.
     """
     hard_every = min(hard_every, length)
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[0].dataType
 
     def run(batches):
@@ -177,4 +178,4 @@ def packed_pieces(
         if len(packer.ids):
             yield from out(True)
 
-    return docs.mapInArrow(run, f"doc_id {kind.simpleString()}, {FIELDS}")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind.simpleString()}, {FIELDS}")

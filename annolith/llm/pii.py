@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolith.llm._store import bounded, tidied
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -205,7 +207,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, base counts by kind, base_sha256, all spans, and how many the deobfuscation added."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = [f"n_{k}" for k in KINDS]
 
     def run(batches):
@@ -223,4 +225,4 @@ def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *names, "base_sha256", "spans", "n_added"])
 
     kind = docs.schema[0].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string, n_added long")
+    return docs.mapInArrow(tidied(run), f"doc_id {kind}, {', '.join(f'{n} long' for n in names)}, base_sha256 string, spans string, n_added long")

@@ -21,7 +21,7 @@ _UNIT = re.compile(rf"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sA-Za-z0-9{_LE
 # the tokenizer tries contractions first, at a quote, where no other unit but punctuation can begin
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _STOP = re.compile(r"[.!?…。！？]")
-KEPT = 500_000
+KEPT = 250_000
 # byte-level BPE's characters: printable bytes stand for themselves, the others for 256 on
 _SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b if b in _SELF else 256 + sum(c not in _SELF for c in range(b)) for b in range(256)}
