@@ -67,9 +67,25 @@ _TRANSDUCER = re.compile(
     rf"|(?P<glyph>[{re.escape(''.join(HOMOGLYPHS))}])",
     re.IGNORECASE,
 )
-_TRIGGER_ASCII = re.compile(r"[\[({<][\x20\t]?(?:at|@|dot|\.|arroba|punkt|point|punto)[\x20\t]?[\])}>]|[\x20\t](?:dot|punkt|point|punto)[\x20\t]", re.IGNORECASE)
-_TRIGGER_WORDS = re.compile(rf"\b(?:(?:{_WORD})[\x20-](?:{_WORD})\b|plus[\x20\t][0-9])", re.IGNORECASE)
-_TRIGGER_GLYPH = re.compile(rf"[{re.escape(''.join(HOMOGLYPHS))}]|(?![0-9])\d")
+#: Pre-checks: no text in which transducers alone find an identifier fails them all.  A bare ``at`` counts with a disguised dot only.
+_HINT_SIGN = re.compile(
+    rf"{_OPEN}{_GAP}?(?:at|@|ät|arroba|dot|\.|punkt|point|punto){_GAP}?{_CLOSE}"
+    rf"|{_GAP}(?:dot|punkt|point|punto){_GAP}"
+    rf"|(?<!\w)plus{_GAP}(?:[0-9]|(?:{_WORD})(?!\w))",
+    re.IGNORECASE,
+)
+#: A spelled digit belongs to a number with another one or a figure beside it, or from a plus on.
+_HINT_DIGIT = re.compile(
+    rf"(?<!\w)(?:{_WORD})[\x20.-](?:[0-9]|(?:{_WORD})(?!\w))"
+    rf"|(?<=[0-9][\x20.-])(?:{_WORD})(?!\w)"
+    rf"|\+[\x20().0-9-]*(?:{_WORD})(?!\w)",
+    re.IGNORECASE,
+)
+#: In an address it only changes something if it isn't ASCII.
+_HINT_MAIL = re.compile(rf"[@.%+-](?:{_WORD})(?!\w)|(?<!\w)(?:{_WORD})[@.%+-]", re.IGNORECASE)
+_HINT_GLYPH = re.compile(rf"[{re.escape(''.join(HOMOGLYPHS))}]|(?![0-9])\d")
+#: Letters that are s or i when case is ignored, but not lower-cased.
+_FOLD = str.maketrans("ſıİ", "sii")
 
 
 def luhn(digits: str) -> bool:
@@ -160,9 +176,16 @@ class Normalised:
         return start, end, {k for k in self.kind[i : j + 1] if k}
 
 
+def may_hide(text: str) -> bool:
+    """False only if the transducers can't add an identifier."""
+    if _HINT_SIGN.search(text) or _HINT_DIGIT.search(text):
+        return True
+    return not text.isascii() and bool(_HINT_GLYPH.search(text) or ("@" in text and _HINT_MAIL.search(text)))
+
+
 def normalise(text: str) -> Normalised | None:
     """The transducers' output; None if nothing is disguised."""
-    if not (_TRIGGER_ASCII.search(text) or _TRIGGER_WORDS.search(text) or (not text.isascii() and _TRIGGER_GLYPH.search(text))):
+    if not may_hide(text):
         return None
     out = Normalised(text)
     for m in _TRANSDUCER.finditer(text):
@@ -174,7 +197,7 @@ def normalise(text: str) -> Normalised | None:
         elif kind == "plus":
             by = "+"
         elif kind == "digits":
-            by = "".join(SPELLED[w.lower()] for w in re.split(r"[\x20-]", found))
+            by = "".join(SPELLED[w.translate(_FOLD).lower()] for w in re.split(r"[\x20-]", found))
         elif kind == "other":
             if found.isascii():
                 continue
