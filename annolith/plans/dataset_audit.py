@@ -13,10 +13,16 @@ def tree(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFram
     """(images, label files, polygons) of a dataset with split and stem."""
     files.check_layout(root)
     split = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
-    listed = lambda kind, glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(f"{root}/{kind}").select("path", split.alias("split"), labels.stem(F.col("path")).alias("stem"), F.lit(name).alias("dataset"))
+
+    def listed(kind: str, suffix: str) -> DataFrame:
+        """Files that aren't hidden, those of no bytes too."""
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(f"{root}/{kind}").select("path")
+        empty = files.empty_files(spark, f"{root}/{kind}").select("path").where(F.col("path").rlike(r"/[^/._][^/]*$") & F.col("path").endswith(suffix))
+        return found.unionByName(empty).select("path", split.alias("split"), labels.stem(F.col("path")).alias("stem"), F.lit(name).alias("dataset"))
+
     polygons = labels.parse(labels.read_lines(spark, f"{root}/labels", recursive=True)).withColumn("dataset", F.lit(name))
     keep = F.col("split").isin(*files.SPLITS)
-    return listed("images", "*.jpg").where(keep), listed("labels", "*.txt").where(keep), polygons.where(keep)
+    return listed("images", ".jpg").where(keep), listed("labels", ".txt").where(keep), polygons.where(keep)
 
 
 def check_leakage(images: DataFrame, fail: bool = True) -> list:

@@ -66,8 +66,8 @@ def view_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], conten
 def manifest(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
     """(path below root, size, sha256) of all files, except below ``without``."""
     base = os.path.realpath(root).rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content").unionByName(empty_files(spark, root))
+    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
     rows = rows.where(F.col("path").startswith(base)).withColumn("path", F.expr(f"substring(path, {len(base) + 1})"))
     return rows if without is None else rows.where(~F.col("path").startswith(without.strip("/") + "/"))
 

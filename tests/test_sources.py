@@ -1,5 +1,6 @@
 """Readers, rasters, scoring, publication."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -57,6 +58,24 @@ def test_overlaps_and_manifests(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("content", "content"), ("gone", "removed"), ("new", "added"), ("size", "size")]
 
 
+def test_empty_files_are_in_manifests_and_trees(spark, tmp_path):
+    d = tmp_path / "d"
+    for split in files.SPLITS:
+        (d / "images" / split).mkdir(parents=True), (d / "labels" / split).mkdir(parents=True)
+    png(d / "images/train/a.jpg", np.zeros((2, 2, 3)))
+    (d / "labels/train/a.txt").write_text(""), (d / "labels/train/gone.txt").write_text(""), (d / "labels/train/emptied.txt").write_text("1")
+    old = files.manifest(spark, str(d))
+    assert {r.path: (r.size, r.sha256) for r in old.collect()}["labels/train/a.txt"] == (0, hashlib.sha256(b"").hexdigest())
+    old.write.json(str(tmp_path / "old"))
+    (d / "labels/train/gone.txt").unlink(), (d / "labels/train/emptied.txt").write_text(""), (d / "labels/val/new.txt").write_text("")
+    got = dataset_audit.compare_to(spark, str(d), str(tmp_path / "old"))
+    assert sorted(map(tuple, got.collect())) == [("labels/train/emptied.txt", "size"), ("labels/train/gone.txt", "removed"), ("labels/val/new.txt", "added")]
+    images, texts, polygons = dataset_audit.tree(spark, str(d), "x")
+    assert sorted((r.split, r.stem) for r in texts.collect()) == [("train", "a"), ("train", "emptied"), ("val", "new")]
+    assert sorted(r.stem for r in R.unmatched(images, texts, ["split", "stem"]).collect()) == ["emptied", "new"]
+    assert polygons.collect() == []
+
+
 def test_known_rasters():
     assert M.pooled_mask([(-0.1, -0.1), (0.49, 0.49), (1.1, 0.49)], 5, 6).shape == (2, 2)
     assert M.pooled_mask([(-0.1, -0.1), (0.49, 0.49), (1.1, 0.49)], 5, 6).all()
