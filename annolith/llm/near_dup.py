@@ -246,13 +246,14 @@ def _fresh(batches, column: int, size: int, limit: int = 1 << 19):
 
 
 class Runs:
-    """(signature, key) rows sorted into runs of one signature.  ``wide``: rows that stand for more sets than ``many``."""
+    """(signature, key) rows sorted into runs of one signature.  ``wide``: rows that stand for more sets than ``many``, kept in ``local``."""
 
     def __init__(self, sig: np.ndarray, key: np.ndarray, wide: np.ndarray, many: int):
         order = np.lexsort((key, sig))
         sig, key, wide = sig[order], key[order], wide[order]
         new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]))
         self.sig, self.key, wide = sig[new], key[new], np.maximum.reduceat(wide, new)
+        self.local = wide > 0
         self.at = np.flatnonzero(np.concatenate([[True], self.sig[1:] != self.sig[:-1]]))
         self.n = np.diff(self.at, append=len(self.sig))
         self.few = (self.sig[self.at] & _U(1)) == 1
@@ -290,7 +291,7 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
 
     Linked sets agree on ``AGREE`` signatures.  Those that at most ``many`` sets have count for each pair of these; the others count for each set and
     connect it to one of them.  A pair stays if its own signatures and the fewer of both sets' others may make ``AGREE``; an
-    edge of the other kind stays if the set has as many.
+    edge of the other kind stays if the set has as many, or if the set stands for others of its flush.
     """
     dealer = Dealer(percent)
 
@@ -340,6 +341,7 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
                 ends = np.stack([r.key, r.root], axis=1)
                 yield from _edges(False, r.pairs(), 1)
                 yield from _edges(False, ends[few & (r.key != r.root)], AGREE)
+                yield from _edges(False, ends[r.local & wide & (r.key != r.root)], AGREE)  # others' edges lead to a local root
                 yield from _edges(True, ends[wide], 1)
 
         at, held = None, []

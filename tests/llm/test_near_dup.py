@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from annolith.llm import near_dup as N
 from annolith.llm.components import components
@@ -87,6 +88,27 @@ def test_linked_sets_share_a_signature(percent):
                     assert len(both) >= N.AGREE or (both & np.uint64(1)).any()
 
 
+def test_sets_meet_through_outsiders_of_several_flushes(spark, monkeypatch):
+    texts = [f"t{i}" for i in range(8)]
+    key = {t: N.set_key(s) for t, s in zip(texts, N.shingle_sets(pa.array(texts), 4), strict=True)}
+    *outsiders, p, q = sorted(texts, key=key.get)  # roots are the smallest keys
+    # two sets agree on three signatures, each of which is wide in its task by another outsider, which has no more of them
+    held = {key[p]: [2, 4, 6], key[q]: [2, 4, 6]} | {key[t]: [2 * (i % 3) + 2] for i, t in enumerate(outsiders)}
+
+    class Given:
+        def __init__(self, percent):
+            self.held = held
+
+        def signatures(self, s):
+            return np.array(self.held[N.set_key(s)], dtype=np.uint64)
+
+    monkeypatch.setattr(N, "Dealer", Given)
+    for tasks in ([*outsiders[:3], p, *outsiders[3:], q], [*outsiders[3:], p, *outsiders[:3], q]):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in tasks], 2), "text string")
+        root = {r.vertex: r.root for r in components(N._candidate_edges(docs, 4, 85, 2, 1)).collect()}
+        assert root[key[p]] == root[key[q]]
+
+
 def test_tree_misses_nothing():
     rnd = np.random.default_rng(6)
     sets = [np.unique(rnd.integers(0, 400, rnd.integers(50, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(300)]
