@@ -383,6 +383,7 @@ def macro(spark, sf_dir):
     return _rounded(R.macro(scores(spark, sf_dir), MACRO), [f"macro_{m}" for m in MACRO])
 
 
+#: Of the queries with SQL, which writes it out.
 _REPLICATES = 100
 
 
@@ -412,7 +413,7 @@ def bootstrap_macro(spark, sf_dir):
 
 @query()
 def bootstrap_replay(spark, sf_dir):
-    return replay_intervals(scores(spark, sf_dir), METRICS, MACRO, "image_id", replicates=_REPLICATES)
+    return replay_intervals(scores(spark, sf_dir), METRICS, MACRO, "image_id")
 
 
 # --- audit reports ------------------------------------------------------------------------------------------------------
