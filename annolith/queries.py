@@ -116,6 +116,11 @@ def rect_contact(spark, sf_dir):
     return _polygons(spark, sf_dir).select("vec_id", F.expr(G.contains("p", "0D", "0D")).alias("origin_inside"), near.alias("vertex_near"))
 
 
+@query()
+def touches_rect(spark, sf_dir):
+    return _polygons(spark, sf_dir).select("vec_id", G.touches_rect(F.col("p"), F.expr("array(-0.05D, -0.05D, 0.05D, 0.05D)")).alias("touches"))
+
+
 @query("SELECT vec_id, true AS turned, true AS reversed, false AS moved FROM embeddings")
 def ring_equivalence(spark, sf_dir):
     p = _polygons(spark, sf_dir).withColumns({"a": F.expr("concat(slice(p, 6, size(p)), slice(p, 1, 5))"), "b": F.reverse("p"), "c": F.expr(G.affine("p", "1D", "1D", "0.001D", "0D"))})
