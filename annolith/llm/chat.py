@@ -31,6 +31,9 @@ MARKS = CONTROL[:4]
 _TAILS = "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_TAILS})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={_TAILS})")
+#: White space so long is encoded apart: the encoder's own splitting recurses over it.
+RUN = 4096
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _workers: dict = {}
 
 
@@ -59,8 +62,18 @@ class Codec:
             _workers[path] = cls(path, pattern)
         return _workers[path]
 
+    def ids(self, text: str, run: int = RUN) -> list[int]:
+        """The encoder's ids.  Before other text the last character of a run of white space belongs to what follows; the rest is a piece of its own."""
+        out, at = [], 0
+        for m in re.finditer(f"[{_WHITE}]{{{run},}}", text):
+            begin, end = m.start(), m.end() - (m.end() < len(text))
+            out += self.bpe.encode_ordinary(text[at:begin])
+            out += self.bpe._encode_single_piece(text[begin:end].encode())
+            at = end
+        return out + self.bpe.encode_ordinary(text[at:])
+
     def encode(self, text: str | None) -> bytes:
-        return np.array(self.bpe.encode_ordinary(escape(text or "")), dtype="<i4").tobytes()
+        return np.array(self.ids(escape(text or "")), dtype="<i4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.bpe.decode_bytes(ids.tolist()).decode()

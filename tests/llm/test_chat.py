@@ -67,3 +67,18 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("marks", [C.MARKS])
 def test_marks_are_escaped_in_content(marks):
     assert set(marks) <= set(C.CONTROL)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab1'!é \n\t\u3000\xa0\x1c\u180e"), max_size=40))
+def test_long_white_space_apart_gives_the_same_ids(text):
+    codec = C.Codec.of(PATH, PATTERN)
+    assert codec.ids(text, 2) == codec.bpe.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("piece", [" ", "\n", " \n", "\u3000", "a", "!", "é", "\\", "</s>", "1"])
+def test_long_runs(piece):
+    codec = C.Codec.of(PATH, PATTERN)
+    text = f"x{piece * 1_000_000}y"
+    ids = codec.ids(C.escape(text))
+    assert C.unescape(codec.decode(C.np.array(ids))) == text
