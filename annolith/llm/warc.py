@@ -11,7 +11,8 @@ decoded, white space within lines is one space, and empty lines go.  All steps a
 Nothing is shuffled: a response's derivatives are made where it is read.
 
 Cases: a null page is an empty payload; a null target is left out of the headers and read back as null.  A response whose block isn't HTTP, or
-has no end of head, is all payload, with status 0.  Bytes that aren't UTF-8 are replaced in the text, not in digests.  Records of other types and records without an id derive nothing.
+has no end of head, is all payload, with status 0.  Chunked, gzip and deflate payloads are decoded for the text and the title, by the declared charset or as
+UTF-8; digests are of the payload as it stands.  Bytes that the charset doesn't know are replaced.  A damaged record (no length, a length beyond the data) ends its column's value.  Records of other types and records without an id derive nothing.
 Repeated responses give repeated derivatives with the same ids.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,10 @@ TITLE = r"(?is)<title\b[^<>]*>(.*?)</title\s*>"
 LINK = r"(?i)<a\b[^<>]*\bhref\s*="
 _DROP, _LINE, _TAG, _LINK = (re.compile(x) for x in (DROP, LINE, TAG, LINK))
 _OPEN, _CLOSE = (re.compile(x, re.IGNORECASE) for x in TITLE.replace("(?is)", "").split("(.*?)"))
+_COUNT, _STATUS = re.compile(r"[0-9]{1,18}"), re.compile(r"[0-9]{1,9}")
+_CHUNK, _CHARSET = re.compile(rb"([0-9A-Fa-f]{1,12})[^\r\n]{0,1000}\r\n"), re.compile(r"(?i)charset\s*=\s*[\"']?((?:utf-?8|utf-16(?:le|be)?|us-ascii|latin-?1|iso-8859-[0-9]{1,2}|windows-[0-9]{3,4}|cp[0-9]{3,4}|koi8-[ru]|gb2312|gbk|gb18030|big5|shift_jis|euc-(?:jp|kr)|iso-2022-jp)\b)")
+#: Compressed data that would take more bytes than this stays as it is.
+MOST = 1 << 28
 _BLANK, _BREAK = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 _ID = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long"
 
@@ -56,8 +62,34 @@ def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return "\r\n".join([VERSION, *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of records one after another; what follows a damaged record is left."""
+def inflated(data: bytes, wbits: int, most: int) -> bytes:
+    """Compressed members one after another, as far as they are whole; ValueError beyond ``most`` bytes or without a whole member."""
+    out, n = [], 0
+    while data:
+        member = zlib.decompressobj(wbits)
+        try:
+            part = member.decompress(data, most - n + 1)
+        except zlib.error:
+            break
+        n += len(part)
+        if n > most:
+            raise ValueError("more bytes than allowed")
+        if not member.eof:
+            break
+        out.append(part)
+        data = member.unused_data
+    if not out:
+        raise ValueError("not compressed")
+    return b"".join(out)
+
+
+def parse(data: bytes, most: int = MOST) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of records one after another, gzip members or plain; a record that is damaged or cut off and all that follows it are left."""
+    if data.startswith(b"\x1f\x8b"):
+        try:
+            data = inflated(data, 31, most)
+        except ValueError:
+            return
     at = 0
     while data.startswith(b"WARC/", at):
         end = data.find(b"\r\n\r\n", at)
@@ -65,12 +97,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        try:
-            size = int(headers.get("content-length", ""))
-        except ValueError:
+        size = headers.get("content-length", "")
+        if not _COUNT.fullmatch(size) or end + 4 + int(size) > len(data):
             return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        at = end + 4 + int(size)
+        yield headers, data[end + 4 : at]
+        at += 4
 
 
 def http_parts(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
@@ -80,7 +112,38 @@ def http_parts(block: bytes) -> tuple[int, list[tuple[str, str]], bytes]:
         return 0, [], block
     first, *lines = block[:end].decode("latin-1").split("\r\n")
     code = first.split(" ")[1:2]
-    return int(code[0]) if code and code[0].isdigit() else 0, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], block[end + 4 :]
+    return int(code[0]) if code and _STATUS.fullmatch(code[0]) else 0, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], block[end + 4 :]
+
+
+def unchunked(body: bytes) -> bytes:
+    """A chunked body's data, as far as its chunks are whole; the body itself if it doesn't begin with one."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size or m.end() + size > len(body):
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out) if out or m else body
+
+
+def page_of(http: list[tuple[str, str]], payload: bytes, most: int = MOST) -> str:
+    """The payload as text: transfer and content codings undone (what can't be undone stays), and decoded by the declared charset if the web uses it, else as UTF-8."""
+    header = {k.lower(): v for k, v in http}
+    if "chunked" in header.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
+    for coding in reversed(header.get("content-encoding", "").lower().split(",")):
+        for wbits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ()):
+            try:
+                payload = inflated(payload, wbits, most)
+                break
+            except ValueError:
+                continue
+    named = _CHARSET.search(header.get("content-type", ""))
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace")
+    except (LookupError, UnicodeError, ValueError):  # no text codec of that name
+        return payload.decode("utf-8", "replace")
 
 
 def plain_text(page: str) -> str:
@@ -100,7 +163,7 @@ def derive(headers: dict[str, str], block: bytes) -> list[bytes]:
     if headers.get("warc-type") != "response" or not source:
         return []
     status, http, payload = http_parts(block)
-    page = payload.decode("utf-8", "replace")
+    page = page_of(http, payload)
     own = headers.get("warc-payload-digest") or digest(payload)
     text = plain_text(page).encode()
     conversion, metadata = urn(source, "conversion"), urn(source, "metadata")

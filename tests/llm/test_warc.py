@@ -1,9 +1,13 @@
 """Web-archive derivatives: links between records, digests, text, odd input."""
 
+import gzip
 import hashlib
+import zlib
 
 import pytest
 from annolith.llm import warc as W
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 PAGE = '<!DOCTYPE html><html><head><title>A &amp;\n B</title><style>p{}</style><script>var t="</p>";</script></head><body><p>One <b>bold</b>&nbsp;word<br>two</p><!-- no <p>x</p> --><ul><li><a HREF="/x">L1</a></li><li>5 < 6 &lt;b&gt;</li></ul></body></html>'
 SCHEMA = "page_id long, url string, html string, record string, date int"
@@ -55,3 +59,46 @@ def test_pages(spark):
             assert r.block_digest == f"sha256:{hashlib.sha256(W.plain_text(PAGE).encode()).hexdigest()}" and r.target_uri == "http://a/1"
     assert {r.target_uri for r in got if r.page_id == 2} == {None} and {r.target_uri for r in got if r.page_id is None} == {"http://b Evil: 1"}
     assert W.read_back(W.derivatives(W.responses(spark.createDataFrame([], SCHEMA)))).collect() == []
+
+
+@pytest.mark.parametrize("size", ["-37", "+3", "1_0", "", "x", "\u00b2", "99999999999999999999999", "400"])
+def test_damaged_lengths_end_the_data(size):
+    data = f"WARC/1.0\r\nContent-Length: {size}\r\n\r\n".encode()
+    assert list(W.parse(data + b"abc\r\n\r\n")) == []
+    good = W.serialise([("A", "1")], b"xy")
+    assert [b for _, b in W.parse(good + data)] == [b"xy"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([b"WARC/1.0", b"\r\n", b"\r\n\r\n", b"Content-Length: ", b"-", b"7", b"WARC-Type: response\r\nWARC-Record-ID: <a>\r\n", b"HTTP/1.1 200 OK", "²".encode("latin-1"), b"Transfer-Encoding: chunked", b"Content-Encoding: gzip", b"charset=", b"\x1f\x8b\x08", b"<title>", b"&#xD800;"]), st.binary(max_size=3)), max_size=25).map(b"".join))
+def test_any_bytes_end_without_an_error(data):
+    for records in (W.parse(data), [({"warc-type": "response", "warc-record-id": "<a>"}, b"HTTP/1.1 200 OK\r\n" + data)]):
+        for headers, block in records:
+            for made in W.derive(headers, block):
+                assert len(list(W.parse(made))) == 1
+
+
+@pytest.mark.parametrize("code", ["²00", "-1", "2_0", "٢٠٠", "9" * 5000])
+def test_status_is_plain_digits(code):
+    assert W.http_parts(f"HTTP/1.1 {code} OK\r\n\r\n".encode("utf-8"))[0] == 0
+
+
+def test_codings_and_charsets_are_undone():
+    page = "<p>naïve é</p>"
+    raw = page.encode()
+    chunked = b"5;x=1\r\n" + raw[:5] + b"\r\n" + f"{len(raw) - 5:x}\r\n".encode() + raw[5:] + b"\r\n0\r\n\r\n"
+    assert W.page_of([], raw) == page
+    assert W.page_of([("Transfer-Encoding", "chunked")], chunked) == page
+    assert W.page_of([("transfer-encoding", "chunked")], raw) == page  # decoded already
+    for coding, data in (("gzip", gzip.compress(raw)), ("x-gzip", gzip.compress(raw[:4]) + gzip.compress(raw[4:])), ("deflate", zlib.compress(raw)), ("deflate", zlib.compress(raw)[2:-4]), ("br", raw), ("gzip", raw)):
+        assert W.page_of([("Content-Encoding", coding)], data) == page
+    assert W.page_of([("Content-Type", "text/html; charset=iso-8859-1")], page.encode("latin-1")) == page
+    assert W.page_of([("Content-Type", "text/html; charset=punycode")], raw) == page
+    assert len(W.page_of([("Content-Encoding", "gzip")], gzip.compress(bytes(5000)), 1000)) < 100  # too large: it stays as it is
+
+
+def test_compressed_members_are_read():
+    data = W.serialise([("WARC-Type", "x")], b"abc")
+    assert [b for _, b in W.parse(gzip.compress(data) + gzip.compress(data))] == [b"abc", b"abc"]
+    assert [b for _, b in W.parse(gzip.compress(data) + gzip.compress(data)[:-20])] == [b"abc"]
+    assert list(W.parse(gzip.compress(data)[:-12])) == list(W.parse(b"\x1f\x8bjunk")) == []
