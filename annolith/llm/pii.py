@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +30,8 @@ from annolith.llm._store import bounded, tidied
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match never begins within a run of digits, nor gives a digit back: as the contract's pattern, but linear
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -214,13 +215,17 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     if found is None:
         return []
     plain, out = found.finish(), []
+    known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # ascending, apart from each other
+    last = dict.fromkeys(KINDS, 0)
     for kind, a, b in base_spans(plain):
         start, end, through = found.back(a, b)
-        if not through or any(k == kind and start < e and s < end for k, s, e in (*base, *out)):
+        i = bisect_left(known[kind], (end, 0)) - 1  # the last that begins before the end
+        if not through or start < last[kind] or (i >= 0 and known[kind][i][1] > start):
             continue
         if "bareat" in through and not through & {"dot", "baredot"}:
             continue
         out.append((kind, start, end))
+        last[kind] = end
     return out
 
 

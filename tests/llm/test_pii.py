@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from annolith.llm import pii as P
@@ -111,3 +112,25 @@ def test_pre_check_passes_all_that_transducers_find(text):
     finally:
         P.may_hide = check
     assert not found or check(text), found
+
+
+FOLDING = [c for c in map(chr, range(0x110000)) if re.fullmatch("[a-zäöüéñ]", c, re.IGNORECASE)]
+
+
+@pytest.mark.parametrize("word", sorted(P.SPELLED))
+def test_letters_that_fold_are_read_as_their_letter(word):
+    assert set("ſıİK") <= set(FOLDING)
+    for i, letter in enumerate(word):
+        for c in FOLDING:
+            if re.fullmatch(letter, c, re.IGNORECASE):
+                text = f"call +1 555 {word[:i]}{c}{word[i + 1 :]} {word}, [at] {c}"
+                P.added_spans(text, P.base_spans(text))
+    assert [(k, a, b) for k, a, b in P.added_spans("ip sıx.nıne.1.ſeven", [])] == [("ip", 3, 19)]
+
+
+@pytest.mark.parametrize("piece", ["1", "1.", ".", "a", "@", "a@", "+1", "+1(", " ", "\n", "one ", "one-", " dot ", "(at)", "(", "٣", "１", "а", "jane (at) b (dot) c, ", "a@b.c "])
+def test_long_runs_take_time_in_proportion(piece):
+    text = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    P.added_spans(text, P.base_spans(text))
+    assert time.process_time() - began < 60
