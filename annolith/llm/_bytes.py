@@ -152,6 +152,18 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         return mix(total + _U(size))
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct values of two ascending arrays, ascending."""
+    x = np.sort(np.concatenate([a, b]), kind="stable")
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
+def within(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each value whether it is in an ascending array."""
+    at = np.searchsorted(of, x)
+    return (at < len(of)) & (of[np.minimum(at, len(of) - 1)] == x) if len(of) else np.zeros(len(x), bool)
+
+
 def same_bytes(a: np.ndarray, a0: np.ndarray, a1: np.ndarray, b: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
     """For each i, whether a[a0:a1] equals b[b0:b1] after folding A-Z."""
     size = a1 - a0

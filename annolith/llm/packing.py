@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annolith.llm import _bytes as B
 from annolith.llm._store import bounded, tidied
 from annolith.llm.tokens import Encoder
 
@@ -82,15 +83,15 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, length: int) -> list[in
 
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, sentence_penalty: int, hard_penalty: int, hard_every: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and penalties; gaps of over ``hard_every`` are filled with places within the sentence."""
-    places = np.union1d(doc_ends, sentence_ends[sentence_ends < doc_ends[-1]])
+    places = B.merged(doc_ends, sentence_ends[sentence_ends < doc_ends[-1]])
     places = places[places > 0]
     gap = np.diff(places, prepend=0)
     wide = np.flatnonzero(gap > hard_every)
     if len(wide):
-        places = np.union1d(places, np.concatenate([np.arange(places[i] - gap[i] + hard_every, places[i], hard_every) for i in wide]))
+        places = B.merged(places, np.concatenate([np.arange(places[i] - gap[i] + hard_every, places[i], hard_every) for i in wide]))
     penalty = np.full(len(places), hard_penalty)
-    penalty[np.isin(places, sentence_ends)] = sentence_penalty
-    penalty[np.isin(places, doc_ends)] = 0
+    penalty[B.within(places, sentence_ends)] = sentence_penalty
+    penalty[B.within(places, doc_ends)] = 0
     return places, penalty
 
 
@@ -118,7 +119,7 @@ class _Packer:
             cut = cut[:-1]
         done = int(cut[-1]) if len(cut) else 0
         if done:
-            bounds = np.union1d(cut, self.end[self.end < done])
+            bounds = B.merged(cut, self.end[self.end < done])
             start = np.concatenate([[0], bounds[:-1]])
             doc = np.searchsorted(self.end, start, "right")
             window = np.searchsorted(cut, start, "right")
@@ -157,22 +158,16 @@ def packed_pieces(
         types, names = None, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             types = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            i = 0
-            while i < len(keys):
-                part, held = [], 0
-                while i + len(part) < len(keys) and held < 1 << 20:
-                    part.append(texts[i + len(part)].as_py() or "")
-                    held += len(part[-1]) + 1
-                ids, ends, stops = encoder.encode(part)
-                n = len(part)
+            keys = batch.column(0).to_pylist()
+            for chunk in B.chunks(batch.column(1)):
+                ids, ends, stops = encoder.encode_chunk(chunk)
+                n = chunk.rows
                 full = np.empty(len(ids) + n, np.uint32)
                 shift = np.repeat(np.arange(n), np.diff(ends, prepend=0))
                 full[np.arange(len(ids)) + shift] = ids
                 full[ends + np.arange(n)] = end_id
                 stops = stops + np.searchsorted(ends, stops, "left")
-                packer.add(keys[i : i + n], full, ends + np.arange(1, n + 1), stops)
-                i += n
+                packer.add(keys[chunk.first : chunk.first + n], full, ends + np.arange(1, n + 1), stops)
                 if len(packer.ids) >= block:
                     yield from out(False)
         if len(packer.ids):
