@@ -28,20 +28,27 @@ def brute(rows, steps=L.STEPS):
             to = parts("http:" + link if link.startswith("//") else link)[0]
             if host and to and to != host:
                 edges.add((host, to))
-    score = []
+    share = []
     for verdict, flow in (("allow", edges), ("block", {(b, a) for a, b in edges})):
         seed = {}
         for h in {p[1] for p in pages} - {""}:
             own = [p for p in pages if p[1] == h]
             seed[h] = L.SCALE * sum(p[4] == verdict for p in own) // len(own)
-        now = {h: s * 15 // 100 for h, s in seed.items()}
+        linked = {h for e in flow for h in e}
+        out = {h: sum(x == h for x, _ in flow) for h in linked}
+        seeds = [{h: seed.get(h, 0) for h in linked}, dict.fromkeys(linked, L.SCALE)]
+        got = [{}, {}]
+        now = [{h: s * 15 // 100 for h, s in x.items()} for x in seeds]
         for _ in range(steps):
-            got = {}
-            for a, b in flow:
-                got[b] = got.get(b, 0) + now.get(a, 0) // sum(x == a for x, _ in flow)
-            now = {h: seed.get(h, 0) * 15 // 100 + got.get(h, 0) * 85 // 100 for h in {*seed, *got}}
-        score.append(now)
-    return sorted(((page, h, p, r, v or ("block" if score[1].get(h, 0) - score[0].get(h, 0) > L.THRESHOLD else "allow"), score[0].get(h, 0), score[1].get(h, 0)) for page, h, p, r, v in pages), key=str)
+            for i in (0, 1):
+                got[i] = dict.fromkeys(linked, 0)
+                for a, b in flow:
+                    got[i][b] += now[i][a] // out[a]
+                now[i] = {h: seeds[i][h] * 15 // 100 + got[i][h] * 85 // 100 for h in linked}
+        own = {h: s // (L.SCALE // L.PARTS) for h, s in seed.items()}
+        passed = {h: int(got[0][h] / got[1][h] * L.PARTS) for h in linked if got[1][h]}
+        share.append({h: max(own.get(h, 0), passed.get(h, 0)) for h in {*own, *passed}})
+    return sorted(((page, h, p, r, v or ("block" if share[1].get(h, 0) - share[0].get(h, 0) > L.THRESHOLD else "allow"), share[0].get(h, 0), share[1].get(h, 0)) for page, h, p, r, v in pages), key=str)
 
 
 def web():
@@ -69,3 +76,46 @@ def test_matches_brute_force_and_sql(spark):
 
 def test_empty_table(spark):
     assert L.judge_urls(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def judged(spark, rows):
+    return {r.page_id: r for r in L.judge_urls(spark.createDataFrame([(*r, "h", 1) for r in rows], SCHEMA)).collect()}
+
+
+def test_verdicts_do_not_fade_with_in_degree(spark):
+    """Of many hosts that link to one blocked host, those that link to nothing else are blocked, and those that mostly link elsewhere are not."""
+    rows = [(0, "http://bad.net/x", ""), (1, "http://plain.io/x", "")]
+    rows += [(100 + i, f"http://only{i}.com/x", "<a href='http://bad.net/'>") for i in range(60)]
+    rows += [(200 + i, f"http://mixed{i}.com/x", "<a href='http://bad.net/'>" + "".join(f"<a href='http://other{i}-{k}.com'>" for k in range(3))) for i in range(10)]
+    got = judged(spark, rows)
+    assert {got[100 + i].verdict for i in range(60)} == {"block"}
+    assert {got[200 + i].verdict for i in range(10)} == {got[1].verdict} == {"allow"}
+
+
+def test_trust_outweighs(spark):
+    rows = [(0, "http://bad.net/x", ""), (1, "http://good.org/fr/x", "<a href='http://a.com'>"), (2, "http://a.com/x", "<a href='http://bad.net'>"), (3, "http://b.com/x", "<a href='http://bad.net'>")]
+    got = judged(spark, rows)
+    assert got[2].verdict == "allow" and got[2].trust > 900_000
+    assert got[3].verdict == "block"
+
+
+def test_hubs_in_slices_give_the_same(spark):
+    rows = [(i, f"http://h{i}.com/x", f"<a href='http://h{(i * 7) % 40}.com'><a href='http://hub.com'>") for i in range(40)]
+    rows += [(50, "http://hub.com/x", "".join(f"<a href='http://h{i}.com'>" for i in range(40)))]
+    seeds = spark.createDataFrame([(k, f"h{i}.com", L.SCALE) for k in (0, 1) for i in range(0, 40, 3)], "kind int, host string, seed long")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", L.host_of(L.F.col("url")))
+    edges = L.host_edges(pages)
+    one, many = (sorted(map(tuple, L.propagate(edges, seeds, 6, hub=h).collect())) for h in (L.HUB, 3))
+    assert one == many and len(one) == 82
+
+
+def test_registered_query_over_linked_pages(spark, tmp_path):
+    from annolith.llm.queries import ORACLE_SQL, QUERIES
+
+    spark.createDataFrame(web(), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op5_url_filter"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = c.execute(ORACLE_SQL["op5_url_filter"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
