@@ -49,6 +49,28 @@ def test_appends_and_compactions_give_the_same_index(spark):
     assert sorted(map(str, one.read().collect())) == sorted(map(str, many.read().collect()))
 
 
+@pytest.mark.parametrize("memtables", [1, 3, 4, 9, 16])
+def test_any_number_of_memtables_gives_the_same(spark, memtables):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, X.exact_duplicates(docs, memtables=memtables).collect()), key=str) == brute(ROWS)
+
+
+def test_levels_filters_and_deleted_runs(spark):
+    index = X.DigestIndex(spark)
+    rows = spark.range(600).selectExpr("unhex(sha2(cast(id % 451 as string), 256)) as digest", "id")
+    for k in range(9):
+        index.append(rows.where(f"id % 9 = {k}"))
+    assert sorted(r.level for r in index.runs) == [0, 1, 1]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(index.path)
+    assert len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)) == 3  # merged runs are gone
+    known = index.probed(spark.range(300, 900).selectExpr("unhex(sha2(cast(id as string), 256)) as digest", "id")).collect()
+    assert all(r.met for r in known if r.id < 451)
+    assert sum(r.met for r in known if r.id >= 451) < 20  # a filter lets few others through
+    hits = index.hits()
+    assert sorted(r.level for r in index.runs) == [1, 1, 1]
+    assert {(r.least, r.rows) for r in hits.collect()} == {(i, 2) for i in range(149)}
+
+
 def test_keep_first(spark):
     docs = spark.createDataFrame([(*r, "x", 1) for r in ROWS], SCHEMA)
     kept = X.keep_first(docs)
