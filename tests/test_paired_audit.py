@@ -1,11 +1,10 @@
 """The paired audit on miniature datasets: families of reason codes, exclusions, the gate."""
 
-import copy
 import json
 
 import pytest
 from annolith.plans import paired_audit as P
-from dataset import SQUARE, instance, line, png, record, write
+from dataset import CANVAS, TENT, WEDGE, area, black, instance, line, png, record, write
 
 
 def audit(spark, root):
@@ -28,7 +27,7 @@ def test_files_and_lines(spark, tmp_path):
     (root / "images/train/b_v1.png").unlink()
     (root / "labels/train/b_v7.txt").unlink()
     (root / "labels/train/sub").mkdir()
-    png(root / "images/train_v7_eval/a_V1.PNG", [[[0, 0, 0]] * 8] * 8)
+    png(root / "images/train_v7_eval/a_V1.PNG", black())
     got = audit(spark, root)
     assert got["reason_counts"] == {"DUPLICATE_IMAGE_VIEW": 1, "DUPLICATE_VIEW": 1, "MALFORMED_JSON": 1, "MALFORMED_METADATA": 2, "MISSING_IMAGE": 1, "MISSING_LABEL": 1, "MISSING_VIEW": 1}
     assert got["excluded_pair_ids"]["MISSING_VIEW"] == ["a"] and got["excluded_pair_ids"]["MISSING_IMAGE"] == ["b"]
@@ -43,38 +42,57 @@ def test_untrusted_files(spark, tmp_path):
     assert audit(spark, root)["reason_counts"]["MISSING_METADATA_FILE"] == 1
 
 
+GONE = {"status": "dropped", "crop_intersection_polygon": [], "canvas_polygon": [], "crop_intersection_area": 0.0, "canvas_area": 0.0}
+
+
+def first(pair, **changes):
+    """The v7 view's instances, the first of them changed."""
+    whole = instance("v7", pair)
+    return {"instances": [whole | {k: v(whole) if callable(v) else v for k, v in changes.items()}, instance("v7", pair, 1)]}
+
+
+def bent(polygon, at, x, y):
+    return [[x, y] if i == at else p for i, p in enumerate(polygon)]
+
+
+def turn(key):
+    return lambda whole: whole[key][3:] + whole[key][:3]
+
+
+#: What changes in the v7 record of a pair, and the reasons that exclude the pair for it.
 EDITS = {
-    "ring_turned": ({"instances": [instance(crop_intersection_polygon=SQUARE[2:] + SQUARE[:2], canvas_polygon=SQUARE[2:] + SQUARE[:2])]}, {"LABEL_METADATA_MISMATCH": 0}),
-    "crop_moved": ({"instances": [instance(crop_intersection_polygon=[[1.0, 1.0], [6.0, 1.0], [6.0, 6.5], [1.0, 6.0]], crop_intersection_area=26.25)]}, {"SOURCE_CROP_GEOMETRY_MISMATCH": 1, "METADATA_TRANSFORM_MISMATCH": 1, "ROUNDTRIP_ERROR": 1}),
-    "beyond_canvas": ({"instances": [instance(canvas_polygon=[[1.0, 1.0], [9.0, 1.0], [6.0, 6.0], [1.0, 6.0]], canvas_area=32.5)]}, {"OUT_OF_CANVAS_POLYGON": 1}),
-    "class": ({"instances": [instance(class_id=3)]}, {"CLASS_MISMATCH": 2, "LABEL_METADATA_MISMATCH": 1}),
-    "counts": ({"input_instance_count": 2, "output_instance_count": 0}, {"INSTANCE_COUNT_MISMATCH": 2}),
-    "false_drop": ({"instances": [instance(status="dropped", reason=P.OUTSIDE, crop_intersection_polygon=[], canvas_polygon=[], crop_intersection_area=0, canvas_area=0)], "output_instance_count": 0, "dropped_instance_reasons": {P.OUTSIDE: 1}}, {"INVALID_DROPPED_INSTANCE": 1}),
-    "drop_reasons": ({"dropped_instance_reasons": {"X": 1}}, {"DROPPED_REASON_MISMATCH": 1}),
-    "bool_count": ({"input_instance_count": True}, {"MALFORMED_METADATA": 1}),
-    "null_instances": ({"instances": None}, {"MALFORMED_METADATA": 1}),
-    "overflow": ({"transform": record("v7")["transform"] | {"crop_box": [1e308, 0, 1e308, 8]}}, {"MALFORMED_METADATA": 1}),
-    "huge_canvas": ({"transform": record("v7")["transform"] | {"canvas_width": 9000, "canvas_height": 9000}}, {"CANVAS_DIMENSION_LIMIT": 1}),
-    "source_differs": ({"source": "z.jpg", "preprocessing_version": "p2"}, {"SOURCE_IDENTITY_MISMATCH": 1, "PREPROCESSING_VERSION_MISMATCH": 1}),
-    "polygon_differs": ({"instances": [instance(source_polygon=SQUARE[::-1])]}, {"SOURCE_POLYGON_MISMATCH": 1}),
-    "id": ({"instances": [instance(instance_id="a:7")]}, {"INSTANCE_MISMATCH": 2}),
-    "empty_polygon": ({"instances": [instance(canvas_polygon=[], canvas_area=0)]}, {"INVALID_POLYGON": 1, "ZERO_AREA_POLYGON": 1}),
+    "ring_turned": (lambda p: first(p, crop_intersection_polygon=turn("crop_intersection_polygon"), canvas_polygon=turn("canvas_polygon")), set()),
+    "crop_moved": (lambda p: first(p, crop_intersection_polygon=bent(TENT, 1, 13.0, 3.5), crop_intersection_area=area(bent(TENT, 1, 13.0, 3.5))), {"SOURCE_CROP_GEOMETRY_MISMATCH", "METADATA_TRANSFORM_MISMATCH", "ROUNDTRIP_ERROR"}),
+    "beyond_canvas": (lambda p: first(p, canvas_polygon=lambda w: bent(w["canvas_polygon"], 2, 19.5, 7.0)), {"OUT_OF_CANVAS_POLYGON"}),
+    "wrong_area": (lambda p: first(p, source_area=1.25), {"METADATA_POLYGON_AREA_MISMATCH"}),
+    "class": (lambda p: first(p, class_id=5), {"CLASS_MISMATCH", "LABEL_METADATA_MISMATCH"}),
+    "counts": (lambda p: {"input_instance_count": 3, "output_instance_count": 0}, {"INSTANCE_COUNT_MISMATCH"}),
+    "false_drop": (lambda p: first(p, reason=P.OUTSIDE, **GONE) | {"output_instance_count": 1, "dropped_instance_reasons": {P.OUTSIDE: 1}}, {"INVALID_DROPPED_INSTANCE"}),
+    "drop_reasons": (lambda p: {"dropped_instance_reasons": {"OTHER": 2}}, {"DROPPED_REASON_MISMATCH"}),
+    "bool_count": (lambda p: {"input_instance_count": True}, {"MALFORMED_METADATA"}),
+    "null_instances": (lambda p: {"instances": None}, {"MALFORMED_METADATA"}),
+    "overflow": (lambda p: {"transform": record("v7")["transform"] | {"crop_box": [1e308, 2, 1e308, 8]}}, {"MALFORMED_METADATA"}),
+    "huge_canvas": (lambda p: {"transform": record("v7")["transform"] | {"canvas_width": 9000, "canvas_height": 8500}}, {"CANVAS_DIMENSION_LIMIT"}),
+    "source_differs": (lambda p: {"source": "elsewhere.jpg", "preprocessing_version": "made-4"}, {"SOURCE_IDENTITY_MISMATCH", "PREPROCESSING_VERSION_MISMATCH"}),
+    "polygon_differs": (lambda p: first(p, source_polygon=TENT[::-1]), {"SOURCE_POLYGON_MISMATCH"}),
+    "id": (lambda p: first(p, instance_id=f"{p}:7"), {"INSTANCE_MISMATCH"}),
+    "empty_polygon": (lambda p: first(p, canvas_polygon=[], canvas_area=0), {"INVALID_POLYGON", "ZERO_AREA_POLYGON"}),
 }
 
 
 @pytest.fixture(scope="module")
 def edited(spark, tmp_path_factory):
-    """All edits as pairs of one dataset, audited once."""
-    records = []
+    """All edits as pairs of one dataset, audited once.  Images and labels are those of unedited records, but for what is dropped or turned."""
+    root, records = tmp_path_factory.mktemp("edited"), []
     for name, (change, _) in EDITS.items():
-        own = json.loads(json.dumps(copy.deepcopy(change)).replace('"a:', f'"{name}:'))
-        records += [record("v1", name), record("v7", name, **({"source": f"{name}.jpg"} | own))]
-    root = write(tmp_path_factory.mktemp("edited"), [r for r in records if r["instances"] is not None])
-    for r in records:
-        stem = f"{r['pair_id']}_{r['view']}"
-        png(root / "images/train" / f"{stem}.png", [[[0, 0, 0]] * 8] * 8)
-        kept = [i for i in r["instances"] or [] if i["status"] == "kept"]
-        (root / "labels/train" / f"{stem}.txt").write_text("\n".join(line(i["canvas_polygon"] if r["pair_id"] == "ring_turned" else SQUARE) for i in kept))
+        for view, own in (("v1", {}), ("v7", change(name))):
+            records.append(record(view, name) | own)
+            png(root / "images/train" / f"{name}_{view}.png", black())
+            kept = [i for i, item in enumerate(records[-1]["instances"] or []) if item["status"] == "kept"]
+            shown = records[-1] if name == "ring_turned" else record(view, name)
+            label = root / "labels/train" / f"{name}_{view}.txt"
+            label.parent.mkdir(parents=True, exist_ok=True)
+            label.write_text("\n".join(line(shown["instances"][i]) for i in kept))
     (root / "metadata.jsonl").write_text("".join(json.dumps(r) + "\n" for r in records))
     return audit(spark, root)
 
@@ -82,7 +100,7 @@ def edited(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", EDITS)
 def test_edits(edited, name):
     mine = {reason for reason, ids in edited["excluded_pair_ids"].items() if name in ids}
-    want = {k for k, n in EDITS[name][1].items() if n}
+    want = EDITS[name][1]
     assert want <= mine and (want or not mine)
     assert not edited["publication_gate_passed"]
 
@@ -94,30 +112,31 @@ def test_counts_of_edits(edited):
 
 
 def test_legitimate_drops_exclude_but_pass(spark, tmp_path):
-    far = [[0.0, 0.0], [1.0, 0.0], [0.5, 1.0]]
-    touch = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]]
-    gone = dict(status="dropped", crop_intersection_polygon=[], canvas_polygon=[], crop_intersection_area=0.0, canvas_area=0.0)
-    t = record("v7")["transform"] | {"crop_box": [4, 4, 4, 4], "resized_width": 4, "resized_height": 4, "canvas_width": 4, "canvas_height": 4}
-    v7 = record("v7", transform=t, instances=[instance(index=0, source_polygon=far, source_area=0.5, reason=P.OUTSIDE, **gone), instance(index=1, source_polygon=touch, source_area=16.0, reason=P.DEGENERATE, **gone)], input_instance_count=2, output_instance_count=0, dropped_instance_reasons={P.OUTSIDE: 1, P.DEGENERATE: 1})
-    v1 = record("v1", instances=[instance(index=i, source_polygon=p, crop_intersection_polygon=p, canvas_polygon=p, source_area=a, crop_intersection_area=a, canvas_area=a) for i, (p, a) in enumerate([(far, 0.5), (touch, 16.0)])], input_instance_count=2, output_instance_count=2)
-    root = write(tmp_path, [v1, v7])
-    png(root / "images/train/a_v7.png", [[[0, 0, 0]] * 4] * 4)
-    got = audit(spark, root)
+    """Left and above of the crop, and meeting it in its corner only."""
+    outside, corner = (2, [[0.5, 0.5], [2.5, 0.5], [1.5, 1.5]], []), (3, [[1.0, 0.0], [4.0, 0.0], [4.0, 2.0], [1.0, 2.0]], [])
+    shapes = [(outside, P.OUTSIDE), (corner, P.DEGENERATE)]
+    v1 = record("v1", instances=[instance("v1", index=i, shape=s) for i, (s, _) in enumerate(shapes)])
+    v7 = record("v7", instances=[instance("v1", index=i, shape=s, reason=why, **GONE) for i, (s, why) in enumerate(shapes)], output_instance_count=0, dropped_instance_reasons={P.OUTSIDE: 1, P.DEGENERATE: 1})
+    got = audit(spark, write(tmp_path, [v1, v7]))
     assert got["reason_counts"] == {P.DEGENERATE: 1, P.OUTSIDE: 1}
     assert got["publication_gate_passed"] and got["avc_valid_pair_count"] == 0
 
 
 def test_labels_and_images(spark, tmp_path):
-    root = write(tmp_path, [r for p in "abcd" for r in (record("v1", p, instances=[instance(p)]), record("v7", p, instances=[instance(p)]))])
-    (root / "labels/train/a_v1.txt").write_text("2 0 0 0 0 0 0\n2 0.1 0.1 0.1 0.1 0.1 0.1\n")
+    root = write(tmp_path, [record(view, p) for p in "abcd" for view in ("v1", "v7")])
+    (root / "labels/train/a_v1.txt").write_text("4 0 0 0 0 0 0\n1 0.1 0.1 0.1 0.1 0.1 0.1\n")
     (root / "labels/train/b_v1.txt").write_text("9 0 0 1 0 1 1\n")
     (root / "images/train/c_v1.png").write_bytes(b"no image")
-    png(root / "images/train/d_v1.png", [[[0, 0, 0]] * 4] * 4)
+    png(root / "images/train/d_v1.png", black(CANVAS[::-1]))
     got = audit(spark, root)
     assert got["reason_counts"] == {"CORRUPT_IMAGE": 1, "IMAGE_DIMENSION_MISMATCH": 1, "INVALID_LABEL": 1, "ZERO_AREA_LABEL_POLYGON": 2}
     assert got["zero_area_polygon_count"] == 2 and got["label_correspondence_error_count"] == 3
 
 
+def test_cut_instances_are_cut_alike():
+    assert area(WEDGE) == 12 and area(instance("v7", index=1)["crop_intersection_polygon"]) == pytest.approx(12 - 2 * 4 / 3 / 2)
+
+
 @pytest.mark.parametrize("stride", [0, -1, True, 1.5])
 def test_bad_stride(spark, tmp_path, stride):
     with pytest.raises(ValueError, match="stride"):
