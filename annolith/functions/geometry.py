@@ -146,6 +146,12 @@ def touches_rect(polygons: pd.Series, rects: pd.Series) -> pd.Series:
     return pd.Series([None if p is None or r is None else K.touches_rect(_points_of(p), r) for p, r in zip(polygons, rects, strict=True)], dtype=object)
 
 
+@arrow_udf("boolean")
+def crosses_itself(polygons: pd.Series) -> pd.Series:
+    """Whether two edges without a common vertex meet."""
+    return pd.Series([None if p is None else K.crosses_itself(_points_of(p)) for p in polygons], dtype=object)
+
+
 @arrow_udf("string")
 def label_line(classes: pd.Series, polygons: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """A label line: class, then coordinates over the canvas size, clipped to [0, 1], with six decimals (rounded as binary values)."""

@@ -91,11 +91,16 @@ def rle_text(counts: list[int]) -> str:
 
 def rle_mask(height: int, width: int, counts) -> np.ndarray:
     """Alternating runs, off first, in column order; what exceeds the mask is cut."""
-    runs = np.asarray(rle_counts(counts) if isinstance(counts, str) else list(counts), np.int64)
-    if (runs < 0).any():
+    flat, at = np.zeros(height * width, bool), 0
+    runs = [int(n) for n in (rle_counts(counts) if isinstance(counts, str) else counts)]
+    if any(n < 0 for n in runs):
         raise ValueError("negative run length")
-    flat = np.repeat(np.arange(len(runs)) % 2 == 1, runs)[: height * width]
-    return np.concatenate([flat, np.zeros(height * width - len(flat), bool)]).reshape(width, height).T
+    for i, n in enumerate(runs):
+        if at >= len(flat):
+            break
+        flat[at : at + n] = i % 2 == 1
+        at += n
+    return flat.reshape(width, height).T
 
 
 def segmentation_mask(value, side: int) -> np.ndarray:
@@ -121,27 +126,70 @@ def gray(image: np.ndarray) -> np.ndarray:
     return np.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).astype(np.uint8)
 
 
-def _labels(on: np.ndarray) -> np.ndarray:
-    """8-connected components by minimum labels."""
-    out = np.where(on, np.arange(1, on.size + 1).reshape(on.shape), 0)
-    while True:
-        p = np.pad(out, 1)
-        near = np.stack([p[i : i + on.shape[0], j : j + on.shape[1]] for i in range(3) for j in range(3)])
-        best = np.where(near > 0, near, on.size + 1).min(axis=0)
-        new = np.where(on, best, 0)
-        if (new == out).all():
-            return out
-        out = new
+def components(on: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, begins, ends (exclusive) and component numbers of a mask's runs, by union-find over runs of neighbouring rows; 8- or 4-connected."""
+    step = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    y, x0 = np.nonzero(step == 1)
+    x1 = np.nonzero(step == -1)[1]
+    parent = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    row = np.searchsorted(y, np.arange(on.shape[0] + 1))
+    reach = int(diagonal)
+    for r in range(1, on.shape[0]):
+        above, here = slice(row[r - 1], row[r]), slice(row[r], row[r + 1])
+        first = row[r - 1] + np.searchsorted(x1[above], x0[here] - reach, "right")
+        last = row[r - 1] + np.searchsorted(x0[above], x1[here] + reach, "left")
+        for i, a, b in zip(range(row[r], row[r + 1]), first.tolist(), last.tolist(), strict=True):
+            for j in range(a, b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    return y, x0, x1, np.array([root(i) for i in range(len(y))], dtype=np.int64)
+
+
+def _drawn(shape, y, x0, x1) -> np.ndarray:
+    step = np.zeros((shape[0], shape[1] + 1), np.int8)
+    step[y, x0] += 1
+    step[y, x1] -= 1
+    return np.cumsum(step[:, :-1], axis=1).astype(bool)
+
+
+def contour_area(part: np.ndarray) -> float:
+    """Area within the outer contour through the centres of a connected region's edge pixels; holes count."""
+    y, x0, x1, label = components(~np.pad(part, 1), diagonal=False)
+    outside = label == label[0]  # the run that holds the padding's corner
+    full = ~_drawn((part.shape[0] + 2, part.shape[1] + 2), y[outside], x0[outside], x1[outside])
+    corners = full[:-1, :-1].astype(int) + full[1:, :-1] + full[:-1, 1:] + full[1:, 1:]
+    return float((corners == 4).sum() + 0.5 * (corners == 3).sum())
 
 
 def roi_box(image: np.ndarray, threshold: int = 15) -> tuple[int, int, int, int]:
-    """Box (x, y, w, h) of the largest bright region; the whole image if there is none."""
+    """Box (x, y, w, h) of the bright region of the largest contour area (the first on ties); the whole image if there is none."""
     on = gray(image) > threshold
     if not on.any():
         return 0, 0, image.shape[1], image.shape[0]
-    labels = _labels(on)
-    ys, xs = np.nonzero(labels == np.bincount(labels[on]).argmax())
-    return int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1
+    y, x0, x1, label = components(on)
+    names, of = np.unique(label, return_inverse=True)
+    top, left, bottom, right = np.full(len(names), on.shape[0]), np.full(len(names), on.shape[1]), np.zeros(len(names), int), np.zeros(len(names), int)
+    np.minimum.at(top, of, y)
+    np.minimum.at(left, of, x0)
+    np.maximum.at(bottom, of, y + 1)
+    np.maximum.at(right, of, x1)
+    bound = (bottom - top - 1) * (right - left - 1)
+    best, box = -1.0, None
+    for k in np.argsort(-bound, kind="stable").tolist():  # no contour is larger than its box
+        if bound[k] < best or (box is not None and bound[k] == 0):
+            break
+        mine = of == k
+        found = contour_area(_drawn((bottom[k] - top[k], right[k] - left[k]), y[mine] - top[k], x0[mine] - left[k], x1[mine] - left[k]))
+        if found > best:
+            best, box = found, (int(left[k]), int(top[k]), int(right[k] - left[k]), int(bottom[k] - top[k]))
+    return box
 
 
 def _cross_extreme(a: np.ndarray, size: int, pick) -> np.ndarray:
@@ -225,6 +273,11 @@ def rle_decode(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else rle_counts(t) for t in text], dtype=object)
 
 
+@arrow_udf("string")
+def rle_encode(counts: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else rle_text([int(n) for n in c]) for c in counts], dtype=object)
+
+
 @arrow_udf("array<int>")
 def fill_runs(flat: pd.Series, side: pd.Series) -> pd.Series:
     """A filled polygon as run lengths in column order."""

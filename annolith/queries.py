@@ -17,7 +17,7 @@ from annolith.functions import raster
 from annolith.operators import relational as R
 from annolith.operators.bootstrap import intervals, replay_intervals
 from annolith.plans.scoring import MACRO, METRICS, judged
-from annolith.sources import labels
+from annolith.sources import labels, metadata, sinks
 from annolith.sources.files import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,11 +116,47 @@ def rect_contact(spark, sf_dir):
     return _polygons(spark, sf_dir).select("vec_id", F.expr(G.contains("p", "0D", "0D")).alias("origin_inside"), near.alias("vertex_near"))
 
 
-@query()
+_TOUCH = f"""WITH {_E}, t AS (SELECT *, nx - x AS dx, ny - y AS dy FROM e),
+u AS (SELECT *, CASE WHEN dx <> 0 THEN least((-0.05 - x) / dx, (0.05 - x) / dx) WHEN abs(x) <= 0.05 THEN 0 ELSE 2 END AS xa, CASE WHEN dx <> 0 THEN greatest((-0.05 - x) / dx, (0.05 - x) / dx) ELSE 1 END AS xb,
+CASE WHEN dy <> 0 THEN least((-0.05 - y) / dy, (0.05 - y) / dy) WHEN abs(y) <= 0.05 THEN 0 ELSE 2 END AS ya, CASE WHEN dy <> 0 THEN greatest((-0.05 - y) / dy, (0.05 - y) / dy) ELSE 1 END AS yb FROM t)
+SELECT vec_id, bool_or(greatest(0, xa, ya) <= least(1, xb, yb)) OR sum(CASE WHEN (ny > 0) <> (y > 0) AND 0 < (x - nx) * (0 - ny) / (y - ny) + nx THEN 1 ELSE 0 END) % 2 = 1 AS touches FROM u GROUP BY 1"""
+
+
+@query(_TOUCH)
 def touches_rect(spark, sf_dir):
     return _polygons(spark, sf_dir).select("vec_id", G.touches_rect(F.col("p"), F.expr("array(-0.05D, -0.05D, 0.05D, 0.05D)")).alias("touches"))
 
 
+#: Vertices of every other polygon sorted by angle, which leaves a simple one.
+_STAR = _V.replace("v AS (", "v0 AS (") + """, v AS (SELECT vec_id, x, y, n, CASE WHEN vec_id % 2 = 0 THEN row_number() OVER (PARTITION BY vec_id ORDER BY atan2(y, x)) - 1 ELSE i END AS i FROM v0),
+e AS (SELECT a.vec_id, a.i, a.n, a.x, a.y, b.x AS nx, b.y AS ny FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.i = (a.i + 1) % a.n),
+c AS (SELECT a.vec_id, (a.nx - a.x) * (b.y - a.y) - (a.ny - a.y) * (b.x - a.x) AS t1, (a.nx - a.x) * (b.ny - a.y) - (a.ny - a.y) * (b.nx - a.x) AS t2,
+(b.nx - b.x) * (a.y - b.y) - (b.ny - b.y) * (a.x - b.x) AS t3, (b.nx - b.x) * (a.ny - b.y) - (b.ny - b.y) * (a.nx - b.x) AS t4
+FROM e a JOIN e b ON a.vec_id = b.vec_id AND b.i > a.i + 1 AND NOT (a.i = 0 AND b.i = a.n - 1))"""
+
+
+@query(f"WITH {_STAR} SELECT vec_id, bool_or((t1 > 0) <> (t2 > 0) AND (t3 > 0) <> (t4 > 0)) AS crosses FROM c GROUP BY 1")
+def self_intersection(spark, sf_dir):
+    angle = "signum(atan2(a.y, a.x) - atan2(b.y, b.x))"
+    p = _polygons(spark, sf_dir).withColumn("p", F.expr(f"if(vec_id % 2 = 0, array_sort(p, (a, b) -> cast({angle} as int)), p)"))
+    return p.select("vec_id", G.crosses_itself(F.col("p")).alias("crosses"))
+
+
+_SIZES = "SELECT p_partkey, 100 + p_partkey % 1913 AS w, 60 + p_size * 17 AS h FROM part"
+_BOXED = f"""WITH s AS ({_SIZES}), c AS (SELECT *, w // 8 AS cx, h // 5 AS cy, CASE p_partkey % 4 WHEN 0 THEN w ELSE w // 2 END AS cw, h // 2 AS ch FROM s),
+k AS (SELECT *, least(640.0::DOUBLE / cw, 640.0::DOUBLE / ch) AS scale FROM c), r AS (SELECT *, greatest(1, CAST(trunc(cw * scale) AS INT)) AS nw, greatest(1, CAST(trunc(ch * scale) AS INT)) AS nh FROM k)"""
+
+
+@query(_BOXED + " SELECT p_partkey, round(scale, 9) AS scale, nw AS resized_width, nh AS resized_height, (640 - nw) // 2 AS pad_x, (640 - nh) // 2 AS pad_y, cx + cw <= w AS valid FROM r")
+def letterbox_transform(spark, sf_dir):
+    """A quarter of the crops reaches beyond the source."""
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "100 + p_partkey % 1913 as w", "60 + p_size * 17 as h")
+    crop = "array(cast(w div 8 as double), cast(h div 5 as double), cast(if(p_partkey % 4 = 0, w, w div 2) as double), cast(h div 2 as double))"
+    t = part.withColumn("crop", F.expr(crop)).withColumn("t", F.expr(G.make_transform("w", "h", "crop", 640)))
+    pads = [F.col(f"t.{c}").cast("int").alias(c) for c in ("pad_x", "pad_y")]
+    return t.select("p_partkey", F.round("t.scale", 9).alias("scale"), "t.resized_width", "t.resized_height", *pads, F.expr(G.transform_valid("t")).alias("valid"))
+
+
 @query("SELECT vec_id, true AS turned, true AS reversed, false AS moved FROM embeddings")
 def ring_equivalence(spark, sf_dir):
     p = _polygons(spark, sf_dir).withColumns({"a": F.expr("concat(slice(p, 6, size(p)), slice(p, 1, 5))"), "b": F.reverse("p"), "c": F.expr(G.affine("p", "1D", "1D", "0.001D", "0D"))})
@@ -165,6 +201,47 @@ def rle_roundtrip(spark, sf_dir):
     return back.select("vec_id", F.expr("cast(size(runs) as bigint)").alias("runs"), F.expr("cast(size(filter(d, b -> b)) as bigint)").alias("area"))
 
 
+_RUNS = """b AS (SELECT vec_id, i, embedding[i] > 0 AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+g AS (SELECT *, CASE WHEN v = lag(v, 1, false) OVER (PARTITION BY vec_id ORDER BY i) THEN 0 ELSE 1 END AS f FROM b),
+r AS (SELECT vec_id, sum(f) OVER (PARTITION BY vec_id ORDER BY i) AS run FROM g), q AS (SELECT vec_id, run, count(*) AS n FROM r GROUP BY 1, 2),
+z AS (SELECT vec_id, unnest(range(0, CAST(max(run) AS INT) + 1)) AS run FROM q GROUP BY 1), runs AS (SELECT z.vec_id, CAST(z.run AS INT) AS k, CAST(coalesce(n, 0) AS INT) AS n FROM z LEFT JOIN q ON z.vec_id = q.vec_id AND z.run = q.run)"""
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    m = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.expr(_BITS).alias("m"))
+    ends = m.withColumn("e", F.expr("filter(sequence(0, size(m) - 1), i -> m[i] <> if(i = 0, false, m[i - 1]))"))
+    return ends.select("vec_id", "label", F.expr("transform(concat(e, array(size(m))), (x, k) -> x - if(k = 0, 0, get(e, k - 1)))").alias("runs"))
+
+
+@query(f"""WITH {_RUNS}, d AS (SELECT vec_id, k, n, n - CASE WHEN k > 2 THEN lag(n, 2) OVER (PARTITION BY vec_id ORDER BY k) ELSE 0 END AS v FROM runs)
+SELECT vec_id, string_agg(CASE WHEN v BETWEEN -16 AND 15 THEN chr(48 + (v & 31)) ELSE chr(48 + ((v & 31) | 32)) || chr(48 + ((v >> 5) & 31)) END, '' ORDER BY k) AS text, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY k) AS runs FROM d GROUP BY 1""")
+def rle_text(spark, sf_dir):
+    """Compressed run lengths written, and read back."""
+    text = _runs(spark, sf_dir).select("vec_id", raster.rle_encode(F.col("runs")).alias("text"))
+    return text.select("vec_id", "text", F.array_join(raster.rle_decode(F.col("text")).cast("array<string>"), " ").alias("runs"))
+
+
+@query("""WITH t AS (SELECT vec_id, label % 4 AS x0, label % 3 AS y0, label % 4 + 1 + vec_id % 4 AS x1, label % 3 + 2 + vec_id % 3 AS y1, embedding FROM embeddings),
+p AS (SELECT *, (i // 8) BETWEEN x0 AND x1 AND (i % 8) BETWEEN y0 AND y1 AS a, embedding[i + 1] > 0 AS b FROM (SELECT *, unnest(range(0, 64)) AS i FROM t)),
+c AS (SELECT vec_id, count(*) FILTER (a AND b) AS ab, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb FROM p GROUP BY 1)
+SELECT vec_id, round(ab / (na + nb - ab), 9) AS iou, round(2 * ab / (na + nb), 9) AS dice FROM c""")
+def segmentation_scores(spark, sf_dir):
+    """A filled rectangle against a mask of run lengths, compressed for odd rows and listed for even ones."""
+    rect = "transform(array(x0, y0, x1, y0, x1, y1, x0, y1), v -> cast(v as double))"
+    r = _runs(spark, sf_dir).selectExpr("*", "label % 4 as x0", "label % 3 as y0", "label % 4 + 1 + vec_id % 4 as x1", "label % 3 + 2 + vec_id % 3 as y1").withColumn("truth", F.expr(rect))
+    packed = F.to_json(F.struct(F.array(F.lit(8), F.lit(8)).alias("size"), raster.rle_encode(F.col("runs")).alias("counts")))
+    plain = F.to_json(F.struct(F.array(F.lit(8), F.lit(8)).alias("size"), F.col("runs").alias("counts")))
+    scored = r.withColumn("s", raster.mask_scores(F.col("truth"), F.when(F.col("vec_id") % 2 == 1, packed).otherwise(plain), F.lit(8)))
+    return scored.select("vec_id", F.round("s.iou", 9).alias("iou"), F.round("s.dice", 9).alias("dice"))
+
+
+@query("SELECT vec_id, vec_id % 3 = 0 AS empty FROM embeddings")
+def pooled_empty(spark, sf_dir):
+    """Polygons of two vertices leave no pixel, others always do."""
+    p = _polygons(spark, sf_dir).withColumn("p", F.expr("transform(if(vec_id % 3 = 0, slice(p, 1, 2), p), v -> named_struct('x', least(1D, abs(v.x)), 'y', least(1D, abs(v.y))))"))
+    return p.select("vec_id", raster.pooled_empty(F.col("p"), F.lit(23), F.lit(17), F.lit(4)).alias("empty"))
+
+
 @query()
 def raster_fill(spark, sf_dir):
     p = _polygons(spark, sf_dir).withColumn("flat", F.expr("flatten(transform(p, v -> array(16 + 40 * v.x, 16 + 40 * v.y)))"))
@@ -206,6 +283,45 @@ def label_serialize(spark, sf_dir):
     return p.select("vec_id", G.label_line(F.col("label") % 7, F.col("p"), F.lit(0.5), F.lit(0.5)).alias("line"))
 
 
+@query("""WITH l AS (SELECT label, vec_id, CAST(label % 7 AS VARCHAR) || ' ' || array_to_string([printf('%.6f', least(1.0, greatest(0.0, CAST(x AS DOUBLE) / 0.5))) FOR x IN embedding], ' ') AS line FROM embeddings)
+SELECT label, sha256(string_agg(line, chr(10) ORDER BY vec_id)) AS text FROM l GROUP BY 1""")
+def label_files(spark, sf_dir):
+    lines = _polygons(spark, sf_dir).select("label", F.col("vec_id").alias("line_no"), G.label_line(F.col("label") % 7, F.col("p"), F.lit(0.5), F.lit(0.5)).alias("line"))
+    return labels.label_text(lines, "label").select("label", F.sha2("text", 256).alias("text"))
+
+
+#: A metadata line of each document: its language as split in three, pairs of neighbours, some without a field, some no JSON.
+_META = """CASE WHEN doc_id % 11 = 3 THEN '{"pair_id": ' WHEN doc_id % 11 = 4 THEN '[1]' WHEN doc_id % 11 = 5 THEN '{"pair_id":"p","view":"v1"}' WHEN doc_id % 11 = 6 THEN '{"split":"train","pair_id":"","view":"v7"}'
+ELSE '{"split":"' || CASE doc_id % 5 WHEN 0 THEN 'val' ELSE 'train' END || '","pair_id":"p' || CAST(doc_id // 4 AS VARCHAR) || '","view":"' || CASE doc_id % 2 WHEN 0 THEN 'v1' ELSE 'v7' END || '","n":' || CAST(doc_id AS VARCHAR) || '}' END"""
+_METAS = f"""m AS (SELECT doc_id, raw, json_valid(raw) AS ok FROM (SELECT doc_id, {_META} AS raw FROM documents)),
+j AS (SELECT doc_id, raw, ok, CASE WHEN ok THEN raw ->> '$.split' END AS split, CASE WHEN ok THEN nullif(raw ->> '$.pair_id', '') END AS pair_id, CASE WHEN ok THEN raw ->> '$.view' END AS view FROM m),
+k AS (SELECT * FROM j WHERE split IS NOT NULL AND pair_id IS NOT NULL AND view IS NOT NULL)"""
+
+
+def _metadata(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    raw = F.expr(_META.replace("VARCHAR", "STRING").replace("//", "div"))
+    return metadata.records(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), raw.alias("raw")))
+
+
+@query(f"WITH {_METAS} SELECT split, pair_id, view, raw FROM (SELECT *, row_number() OVER (PARTITION BY split, pair_id, view ORDER BY doc_id) AS n FROM k) WHERE n = 1")
+def metadata_records(spark, sf_dir):
+    return _metadata(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_METAS}, i AS (SELECT 'MALFORMED_JSON' AS reason, 'malformed_json_count' AS field, NULL AS pair_id FROM j WHERE NOT ok
+UNION ALL SELECT 'MALFORMED_METADATA', 'malformed_record_count', CASE WHEN split IS NULL THEN NULL ELSE pair_id END FROM j WHERE ok AND (split IS NULL OR pair_id IS NULL OR view IS NULL)
+UNION ALL SELECT 'DUPLICATE_VIEW', 'duplicate_view_count', pair_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, view ORDER BY doc_id) AS n FROM k) WHERE n > 1)
+SELECT reason, field, pair_id, count(*) AS n FROM i GROUP BY 1, 2, 3""")
+def metadata_issues(spark, sf_dir):
+    return _metadata(spark, sf_dir)[1].groupBy("reason", "field", "pair_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT json_object('c_acct', CAST(floor(c_acctbal) AS BIGINT), 'c_custkey', c_custkey, 'c_name', CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END) AS value FROM customer")
+def json_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return sinks.json_lines(c.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("c_name"), F.floor("c_acctbal").cast("bigint").alias("c_acct")))
+
+
 @query("SELECT event_id, json_type(props) = 'OBJECT' AS is_object, coalesce(json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE'), false) AS number_k FROM events")
 def json_typecheck(spark, sf_dir):
     v = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
@@ -312,6 +428,35 @@ def truth_left_join(spark, sf_dir):
     return R.with_truth(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"], {"quality": -1, "toxic": -1})
 
 
+@query("""WITH k AS (SELECT doc_id, max(l) AS l, max(r) AS r FROM (SELECT doc_id, 1 AS l, 0 AS r FROM documents UNION ALL SELECT doc_id, 0, 1 FROM labels) GROUP BY 1)
+SELECT doc_id, CASE WHEN r = 0 THEN 'left' ELSE 'right' END AS side FROM k WHERE l = 0 OR r = 0""")
+def unmatched_files(spark, sf_dir):
+    return R.unmatched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT o_custkey, o_orderpriority, any_value(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2 HAVING count(*) = 1")
+def unique_side(spark, sf_dir):
+    return R.unique_side(table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey", "o_orderpriority"])
+
+
+@query("""WITH d AS (SELECT regexp_replace('img/' || lang || '.' || CAST(doc_id AS VARCHAR) || '.png', '^.*/', '') AS f, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split FROM documents)
+SELECT regexp_replace(f, '\\.[^.]*$', '') || '_' || v AS stem FROM (SELECT f, unnest(CASE split WHEN 'train' THEN ['v1', 'v7'] ELSE ['v1'] END) AS v FROM d)""")
+def output_stems(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.expr("concat('img/', lang, '.', doc_id, '.png')").alias("path"), F.expr(_SPLIT).alias("split"))
+    return d.select(F.explode(R.output_stems(labels.stem(F.col("path")), F.col("split"))).alias("stem"))
+
+
+@query(f"""SELECT c_custkey AS user_id, a AS attempt FROM customer, (SELECT unnest([0, 1, 2]) AS a) WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE CASE event_id % 97 WHEN 0 THEN 5 ELSE 1 END = 5)""")
+def attempt_list(spark, sf_dir):
+    return R.attempts(R.eligible_to_build(_users(spark, sf_dir), _events(spark, sf_dir), ["user_id"]))
+
+
+@query("""SELECT event_type, CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE x END AS x FROM (SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE CAST(event_id AS DOUBLE) END AS x FROM events)""")
+def json_numbers(spark, sf_dir):
+    x = F.expr("case event_id % 4 when 0 then double('nan') when 1 then double('infinity') when 2 then double('-infinity') else cast(event_id as double) end")
+    return table(spark, sf_dir, "events").select("event_type", R.json_number(x).alias("x"))
+
+
 # --- aggregates -------------------------------------------------------------------------------------------------------
 
 

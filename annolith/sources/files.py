@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.sources.labels import stem
+from annolith.sources.labels import empty_files, stem
 
 SPLITS = ("train", "val", "test")
 VIEWS = ("v1", "v7")
@@ -18,18 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content): files of no bytes below a folder, which Spark's file sources leave out; from the same listing that they start with."""
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    found, listed = [], base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, True)
-    while listed.hasNext():
-        status = listed.next()
-        if status.getLen() == 0:
-            found.append((status.getPath().toString(), bytearray()))
-    return spark.createDataFrame(found, "path string, content binary")
-
-
 def list_images(spark: SparkSession, root: str, glob: str = "*.jpg") -> DataFrame:
     """Paths and stems of a folder's images; contents aren't read.  Sort at the sink."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(root).select("path", stem(F.col("path")).alias("stem"))

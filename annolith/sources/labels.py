@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,23 @@ def stem(path):
     return F.regexp_extract(path, STEM, 1)
 
 
+def empty_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(path, content): files of no bytes in a folder (and below), which Spark's file sources leave out; from the same listing that they start with."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    found, listed = [], base.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(base, recursive)
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def read_lines(spark: SparkSession, root: str, glob: str = "*.txt", recursive: bool = False) -> DataFrame:
-    """(path, stem, split, line_no, value): lines in file order, the folder's name being the split."""
+    """(path, stem, split, line_no, value): lines in file order, the folder's name being the split.  A file of no bytes has one empty line."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    visible = F.col("path").rlike(r"/[^/._][^/]*$") & F.regexp_extract("path", "([^/]*)$", 1).rlike(fnmatch.translate(glob))
+    files = files.select("path", "content").unionByName(empty_files(spark, root, recursive).where(visible))
     text = files.select("path", F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n").alias("t"))
     lines = text.select("path", F.posexplode(F.split("t", "\n")).alias("at", "value"))
     return lines.select("path", stem(F.col("path")).alias("stem"), F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("split"), (F.col("at") + 1).alias("line_no"), "value")

@@ -101,21 +101,11 @@ def issue_rows(rows: DataFrame, reason: str, field: str | None = None, structura
     return rows.select(F.lit(reason).alias("reason"), F.lit(field).cast("string").alias("field"), F.lit(structural).alias("structural"), (F.lit(1) if amount is None else amount).cast("bigint").alias("amount"), "split", "pair_id")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, issues): records are split, pair_id, view, raw; the first of each key wins.
+def records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, issues) of (ordinal, raw) lines: records are split, pair_id, view, raw; the first of each key by ordinal wins.
 
-    A missing file, and one that isn't UTF-8, gives no records and one issue.  Lines that aren't JSON or have no identity are
-    issues; so is each record of a pair and view that some split had before.
+    Lines that aren't JSON or have no identity are issues; so is each record of a pair and view that some split had before.
     """
-    none = spark.createDataFrame([], "split string, pair_id string, view string, raw string")
-    unkeyed = spark.range(1).select(F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("pair_id"))
-    if not os.path.isfile(path):
-        return none, issue_rows(unkeyed, "MISSING_METADATA_FILE", "malformed_record_count")
-    whole = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("t"), F.expr("is_valid_utf8(cast(content as string))").alias("good"))
-    if not whole.select("good").first()[0]:
-        return none, issue_rows(unkeyed, "MALFORMED_METADATA", "malformed_record_count")
-    text = F.regexp_replace(F.regexp_replace("t", r"\r\n?", "\n"), r"\n\z", "")
-    lines = whole.where("t <> ''").select(F.posexplode(F.split(text, "\n")).alias("ordinal", "raw"))
     rows = lines.withColumn("id", identity("raw")).select("ordinal", "raw", "id.*")
     keyed = rows.where("split is not null and pair_id is not null and view is not null")
     bad = rows.where("json and (split is null or pair_id is null or view is null)").select(F.expr("if(split is null or pair_id is null, null, split)").alias("split"), F.expr("if(split is null or pair_id is null, null, pair_id)").alias("pair_id"))
@@ -125,3 +115,18 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     issues = issues.unionByName(issue_rows(again, "DUPLICATE_VIEW", "duplicate_view_count"))
     first = keyed.withColumn("n", F.row_number().over(Window.partitionBy("split", "pair_id", "view").orderBy("ordinal"))).where("n = 1")
     return first.select("split", "pair_id", "view", "raw"), issues
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``records`` of a file's lines, read in splits; a line's ordinal is its split's place in the file and its number there.
+
+    A missing file, and one that isn't UTF-8, gives no records and one issue.
+    """
+    none = spark.createDataFrame([], "split string, pair_id string, view string, raw string")
+    unkeyed = spark.range(1).select(F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("pair_id"))
+    if not os.path.isfile(path):
+        return none, issue_rows(unkeyed, "MISSING_METADATA_FILE", "malformed_record_count")
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")).alias("ordinal"), F.col("value").alias("raw"))
+    if lines.where(~F.expr("is_valid_utf8(raw)")).limit(1).count():
+        return none, issue_rows(unkeyed, "MALFORMED_METADATA", "malformed_record_count")
+    return records(lines)

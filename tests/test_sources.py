@@ -232,3 +232,15 @@ def test_transfer(spark):
     d = spark.createDataFrame([("model.2.a", "3"), ("model.3.b", "5"), ("model.7.z", "1")], "key string, shape string")
     got = {r.key: r.status for r in R.key_transfer(s, d, {1: 2, 2: 3}).collect()}
     assert got == {"model.2.a": "mapped", "model.3.b": "shape_mismatch", "model.7.z": "missing", "model.99.c": "unmapped", "head": "unmapped"}
+
+
+def test_empty_label_files_are_errors_in_scoring(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("")
+    (tmp_path / "b.txt").write_text("1 0.1 0.1 0.5 0.1 0.5 0.5\n")
+    (tmp_path / "notes.md").write_text("")
+    (tmp_path / ".hidden.txt").write_text("")
+    lines = labels.read_lines(spark, str(tmp_path))
+    assert {r.stem for r in lines.collect()} == {"a", "b"}
+    with pytest.raises(Exception, match="empty label file"):
+        labels.first_polygon(lines, 640).collect()
+    assert [r.stem for r in labels.parse(lines).collect()] == ["b"]  # strict readers see no line in it
