@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; set one of our own only where that is unset (local runs, tests)."""
+    """Use the folder named by spark.checkpoint.dir; where that is unset, a local session gets one of its own, and a cluster is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annolith-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="annolith-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +23,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of the tables from ``cut`` that ``df`` reads; nothing may read them any more."""
+    leaves = df._jdf.queryExecution().logical().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD" and (file := leaf.rdd().getCheckpointFile()).isDefined():
+            remove(df.sparkSession, file.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Bytes that a Python worker gets at once (Spark's own default is 64 MB, of which several copies are in memory).
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
 from annolith.llm import _sieve
-from annolith.llm._store import bounded, cut, tidied
-from annolith.llm.components import components
+from annolith.llm._store import bounded, cut, forget, tidied
+from annolith.llm.components import labelled, named
 
 _U = np.uint64
 #: Below so many shingles sets are dealt by choices of FEW of their smallest hashes.
@@ -53,7 +53,8 @@ RATIO = 1.6
 BLOCK_SETS = 4000
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 12 << 20
-_BLOOM_BITS = 1 << 25
+#: The filter of keys has eight bits for each, but no more than these (32 MB).
+_BLOOM_BITS = 1 << 28
 
 
 def _ceil(a, b):
@@ -290,8 +291,8 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
     """(a, b) edges between keys of sets, enough to connect all that may link.
 
     Linked sets agree on ``AGREE`` signatures.  Those that at most ``many`` sets have count for each pair of these; the others count for each set and
-    connect it to one of them.  A pair stays if its own signatures and the fewer of both sets' others may make ``AGREE``; an
-    edge of the other kind stays if the set has as many, or if the set stands for others of its flush.
+    connect it to one of them.  A pair stays if its own signatures and the fewer of both sets' others may make ``AGREE``, unless it lacks some and both
+    sets have as many others; an edge of the other kind stays if the set has as many, or if the set stands for others of its flush.
     """
     dealer = Dealer(percent)
 
@@ -365,21 +366,26 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
     others = cut(star.groupBy("a").agg(F.sum("n").alias("n")))
     pair = met.where("not wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
     sure = pair.where(F.col("n") >= AGREE).select("a", "b")
-    # the others' sets, if both have signatures of many sets that may make up for what is missing
-    maybe = pair.where(F.col("n") < AGREE).join(others.select("a", F.col("n").alias("na")), "a").join(others.select(F.col("a").alias("b"), F.col("n").alias("nb")), "b")
+    # the others' sets, if signatures of many sets may make up for what is missing; where both ends have AGREE of
+    # these, a pair that lacks one agrees on such a signature, and its star connects both
+    lack = pair.where(F.col("n") < AGREE)
+    few, rest = others.where(F.col("n") < AGREE), others.where(F.col("n") >= AGREE)
+    by = lambda rows, end: rows.select(F.col("a").alias(end), F.col("n").alias(f"n{end}"))
+    maybe = lack.join(by(few, "a"), "a").join(by(others, "b"), "b").unionByName(lack.join(by(few, "b"), "b").join(by(rest, "a"), "a"))
     maybe = maybe.where(F.col("n") + F.least("na", "nb") >= AGREE).select("a", "b")
     starred = star.select("a", "b").join(others.where(F.col("n") >= AGREE).select("a"), "a", "left_semi").where("a <> b")
     return sure.unionByName(maybe).unionByName(starred.select("a", "b"))
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, in a table of fixed size; the driver gets no more words than the table has."""
-    bit = F.pmod(F.col("vertex"), F.lit(_BLOOM_BITS))
+    """A bit for each key, in a table of bounded size; the driver gets no more words than the table has."""
+    bits = min(_BLOOM_BITS, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
+    bit = F.pmod(F.col("vertex"), F.lit(bits))
     words = keys.select(F.shiftright(bit, 6).alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("i"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("m")).toArrow()
-    bits = np.zeros(_BLOOM_BITS // 64, np.int64)
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return bits
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
 
 
 def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, block_sets: int) -> DataFrame:
@@ -393,7 +399,7 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], ["vertex", "shingles"])
 
         for k, s in _fresh(batches, 0, size):
-            bit = k % _BLOOM_BITS
+            bit = k % (64 * len(bits.value))
             if int(bits.value[bit >> 6]) >> (bit & 63) & 1:
                 rows.append((k, s))
                 total += s.nbytes
@@ -403,8 +409,8 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
         if rows:
             yield batch_of(rows)
 
-    counts = blocks.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("parts"))
-    placed = blocks.join(counts, "root").select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
+    large = cut(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_sets).select("root", F.ceil(F.col("n") / block_sets).alias("parts")))
+    placed = named(blocks, large, "root").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
     sets = docs.select("text").mapInArrow(tidied(pick), "vertex long, shingles binary").join(placed, "vertex")
     # part i of k meets every part j: tree (i, j) with i <= j
     met = sets.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "shingles")
@@ -437,18 +443,23 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, many: int = MANY) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    if not 75 <= percent <= 100:  # signatures of small sets are choices whose number explodes below
+        raise ValueError("percent must be between 75 and 100")
     docs = bounded(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     keyed = cut(_keys(docs, size))
-    classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
+    classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.8 * 17 / BUCKET_BYTES) + 1)
-    blocks = components(_candidate_edges(docs, size, percent, buckets, many))
-    labels = components(_true_links(docs, blocks, size, percent, block_sets))
+    blocks = labelled(_candidate_edges(docs, size, percent, buckets, many))
+    labels = labelled(_true_links(docs, blocks, size, percent, block_sets))
+    forget(blocks)
+    # names of components, then of sets that have any but their only document's
     member = labels.join(classes.select(F.col("key").alias("vertex"), "least"), "vertex")
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select(F.col("vertex").alias("key"), "component_id")
-    every = classes.join(named, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    return keyed.join(every, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    names = cut(member.groupBy("root").agg(F.min("least").alias("component_id")))
+    found = cut(named(labels, names, "root").select(F.col("vertex").alias("key"), "component_id"))
+    every = classes.join(found, "key", "left").where("rows > 1 or component_id is not null").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    named_rows = named(keyed, cut(every), "key")
+    return named_rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -456,4 +467,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     found = near_duplicates(docs, doc_id, **options)
     kept = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = cut(found.groupBy("doc_id").agg(kept.alias("kept")).where("not kept").select("doc_id"))
-    return _sieve.drop_rows(docs, {"doc_id": F.col(doc_id)}, gone)
+    return _sieve.drop_rows(docs, {"doc_id": F.col(doc_id)}, gone, ["doc_id"])

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from annolith.llm import near_dup as N
-from annolith.llm.components import components
+from annolith.llm.components import components, restored, shuffled
 
 
 def shingles(text, size):
@@ -129,4 +129,19 @@ def test_components(spark):
             root = {k: min(ra, rb) if v in (ra, rb) else v for k, v in root.items()}
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.vertex: r.root for r in got.collect()} == root
+    for alone, names in ((6, 3), (25, 1000)):  # several rounds, names by joins and by broadcasts
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(5), alone=alone, names=names).collect()
+        assert len(got) == len(root)
+        assert {r.vertex: r.root for r in got} == root
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_percent_out_of_range(spark):
+    with pytest.raises(ValueError, match="percent"):
+        N.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=50)
+
+
+def test_order_of_a_round_has_an_inverse():
+    x = np.array([0, 1, -1, 2**62, -(2**63), 12345678901], dtype=np.int64)
+    for turn in (1, 2, 9):
+        assert np.array_equal(restored(shuffled(x, turn), turn), x)
