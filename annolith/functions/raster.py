@@ -1,13 +1,16 @@
 """Raster kernels in NumPy (masks are boolean (height, width) arrays), and their Arrow UDFs.
 
 Filling is boundary-inclusive on integer vertices; parity with native libraries is pinned by a few
-known cases only.  Inpainting is not offered: the hair mask is.
+known cases only.  Inpainting goes inward from the mask's edge by distance-weighted means, and augmentation draws from a seed: neither gives
+a native library's very pixels.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -209,6 +212,34 @@ def hair_mask(image: np.ndarray, size: int = 17, threshold: int = 10) -> np.ndar
     return closed.astype(int) - g > threshold
 
 
+def inpainted(image: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Masked pixels from the mask's edge inward: each the mean of known pixels within the radius, weighted by the inverse square of their distance.
+
+    An image without a known pixel stays.
+    """
+    out, known = image.astype(np.float64), np.pad(~mask, radius)
+    reach = range(-radius, radius + 1)
+    offsets = [(dy, dx) for dy in reach for dx in reach if 0 < dy * dy + dx * dx <= radius * radius]
+    todo = np.argwhere(mask)
+    while len(todo):
+        y, x = todo.T
+        edge = np.zeros(len(todo), bool)
+        for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+            edge |= known[y + radius + dy, x + radius + dx]
+        if not edge.any():
+            break
+        y, x = y[edge], x[edge]
+        total, weight = np.zeros((len(y), image.shape[2])), np.zeros(len(y))
+        for dy, dx in offsets:
+            w = known[y + radius + dy, x + radius + dx] / (dy * dy + dx * dx)
+            total += w[:, None] * out[np.clip(y + dy, 0, mask.shape[0] - 1), np.clip(x + dx, 0, mask.shape[1] - 1)]
+            weight += w
+        out[y, x] = total / weight[:, None]
+        known[y + radius, x + radius] = True
+        todo = todo[~edge]
+    return np.floor(out + 0.5).astype(np.uint8)
+
+
 def gray_world(image: np.ndarray) -> tuple[np.ndarray, list[float]]:
     """Channels scaled to a common mean, and the gains; unchanged if a channel is black."""
     means = image.reshape(-1, 3).mean(axis=0)
@@ -240,19 +271,102 @@ def letterboxed(image: np.ndarray, side: int, pad: int = 114) -> np.ndarray:
     return out
 
 
+def _sampled(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bilinear samples at (x, y), black beyond the image."""
+    h, w = image.shape[:2]
+    f = np.pad(image.astype(np.float64), ((1, 1), (1, 1), (0, 0)))
+    x, y = np.clip(x, -1, w), np.clip(y, -1, h)
+    x0, y0 = np.minimum(np.floor(x).astype(int), w - 1), np.minimum(np.floor(y).astype(int), h - 1)
+    fx, fy = (x - x0)[..., None], (y - y0)[..., None]
+    at = lambda dy, dx: f[y0 + 1 + dy, x0 + 1 + dx]
+    return (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+
+
+def _shifted_hsv(image: np.ndarray, hue: float, saturation: float, value: float) -> np.ndarray:
+    """BGR with its hue turned (in half degrees) and its saturation and value moved (of 255)."""
+    f = image.astype(np.float64)
+    high, low = f.max(axis=2), f.min(axis=2)
+    span = np.where(high > low, high - low, 1.0)
+    b, g, r = (f[..., i] for i in range(3))
+    turn = np.where(high == r, (g - b) / span, np.where(high == g, 2 + (b - r) / span, 4 + (r - g) / span)) * 30
+    turn = np.where(high > low, turn + hue, 0.0) % 180 / 30
+    s = np.clip(np.where(high > 0, (high - low) / np.where(high > 0, high, 1) * 255, 0.0) + saturation, 0, 255) / 255
+    v = np.clip(high + value, 0, 255)
+    part = lambda n: v - v * s * np.clip(np.minimum((n + turn) % 6, 4 - (n + turn) % 6), 0, 1)
+    return np.stack([part(1), part(3), part(5)], axis=2)
+
+
+def _blurred(image: np.ndarray, size: int) -> np.ndarray:
+    r = size // 2
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    for axis in (0, 1):
+        if image.shape[axis] > r:
+            pad = [(r, r) if a == axis else (0, 0) for a in range(3)]
+            wide = np.pad(image, pad, mode="reflect")
+            image = sum(w * np.take(wide, np.arange(i, i + image.shape[axis]), axis=axis) for i, w in enumerate(weights))
+    return image
+
+
+class Augmentation:
+    """One draw: a map of the canvas onto itself, and changes of colour and sharpness.  The same seed gives the same."""
+
+    # Probabilities and ranges of the policy.
+    FLIP_X, FLIP_Y, AFFINE, SHEAR, LIGHT, COLOUR, BLUR = 0.5, 0.25, 0.9, 0.35, 0.5, 0.25, 0.15
+    SCALE, SHIFT, TURN, SLANT, BRIGHT, HSV, BLUR_SIZES = (0.85, 1.15), 0.05, 30, 10, 0.12, (5, 8, 5), (3, 5)
+
+    def __init__(self, width: int, height: int, seed: int):
+        rnd = np.random.default_rng(seed)
+        chance = lambda p: rnd.random() < p
+        middle = np.array([(width - 1) / 2, (height - 1) / 2])
+        m = np.diag([-1.0 if chance(self.FLIP_X) else 1.0, -1.0 if chance(self.FLIP_Y) else 1.0])
+        shift = np.zeros(2)
+        if chance(self.AFFINE):
+            angle, scale = np.deg2rad(rnd.uniform(-self.TURN, self.TURN)), rnd.uniform(*self.SCALE)
+            m = scale * np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]]) @ m
+            shift = rnd.uniform(-self.SHIFT, self.SHIFT, 2) * (width, height)
+        if chance(self.SHEAR):
+            slant = np.array([[1.0, np.tan(np.deg2rad(rnd.uniform(-self.SLANT, self.SLANT)))], [np.tan(np.deg2rad(rnd.uniform(-self.SLANT, self.SLANT))), 1.0]])
+            m, shift = slant @ m, slant @ shift
+        self.matrix, self.offset = m, middle + shift - m @ middle
+        self.contrast, self.brightness = (rnd.uniform(1 - self.BRIGHT, 1 + self.BRIGHT), rnd.uniform(-self.BRIGHT, self.BRIGHT)) if chance(self.LIGHT) else (1.0, 0.0)
+        self.hsv = tuple(rnd.uniform(-x, x) for x in self.HSV) if chance(self.COLOUR) else None
+        self.blur = int(rnd.choice(self.BLUR_SIZES)) if chance(self.BLUR) else 0
+
+    def points(self, points) -> np.ndarray:
+        return np.asarray(points, np.float64).reshape(-1, 2) @ self.matrix.T + self.offset
+
+    def image(self, image: np.ndarray) -> np.ndarray:
+        h, w = image.shape[:2]
+        grid = np.stack(np.meshgrid(np.arange(w), np.arange(h)), axis=-1) - self.offset
+        source = grid @ np.linalg.inv(self.matrix).T
+        out = np.clip(_sampled(image, source[..., 0], source[..., 1]) * self.contrast + 255 * self.brightness, 0, 255)
+        if self.hsv is not None:
+            out = _shifted_hsv(out, *self.hsv)
+        if self.blur:
+            out = _blurred(out, self.blur)
+        return np.floor(np.clip(out, 0, 255) + 0.5).astype(np.uint8)
+
+
 def augment_points(points: np.ndarray, width: int, height: int, seed: int) -> np.ndarray:
-    """Seeded flips and an affine map (scale, rotation, shift) of vertices on a canvas: the geometric part of an augmentation."""
-    rnd = np.random.default_rng(seed)
-    p = np.asarray(points, np.float64).reshape(-1, 2).copy()
-    if rnd.random() < 0.5:
-        p[:, 0] = width - p[:, 0]
-    if rnd.random() < 0.5:
-        p[:, 1] = height - p[:, 1]
-    angle, scale = np.deg2rad(rnd.uniform(-45, 45)), rnd.uniform(0.9, 1.1)
-    shift = rnd.uniform(-0.0625, 0.0625, 2) * (width, height)
-    middle = np.array([width, height]) / 2
-    turn = scale * np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
-    return (p - middle) @ turn.T + middle + shift
+    """The geometric part of an augmentation."""
+    return Augmentation(width, height, seed).points(points)
+
+
+def area_float32(points: np.ndarray) -> float:
+    """Polygon area in single precision, by which augmented polygons are kept."""
+    p = np.asarray(points, np.float32).reshape(-1, 2)
+    x, y = p.T
+    return float(np.float32(0.5) * np.abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))))
+
+
+def png(image: np.ndarray) -> bytes:
+    """A BGR image as PNG."""
+    h, w = image.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), np.ascontiguousarray(image[..., ::-1]).reshape(h, w * 3)], axis=1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 @arrow_udf("struct<iou:double,dice:double>")

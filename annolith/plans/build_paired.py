@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from annolith.functions import polygon as K
 from annolith.functions import raster
 from annolith.operators import relational as R
 from annolith.plans.paired_audit import DEGENERATE, OUTSIDE, Transform
-from annolith.sources import labels, sinks
+from annolith.sources import files, labels, sinks
 
 VIEW_ROWS = "split string, stem string, view string, lines array<string>, metadata string, pixels binary"
 
@@ -91,9 +93,9 @@ def views(spark: SparkSession, root: str, side: int = 640, version: str = "annol
                 if r.split == "train" or eval_crops:
                     x, y, w, h = raster.roi_box(image)
                     part = image[y : y + h, x : x + w]
-                    hair = float(raster.hair_mask(part).mean())
-                    part, gains = raster.gray_world(part)
-                    made.append(("v7", part, (x, y, w, h), proxies((w, h), (r.width, r.height), hair, gains)))
+                    hair = raster.hair_mask(part)
+                    part, gains = raster.gray_world(raster.inpainted(part, hair))
+                    made.append(("v7", part, (x, y, w, h), proxies((w, h), (r.width, r.height), float(hair.mean()), gains)))
                 for view, pixels, crop, found in made:
                     t = make_transform(r.width, r.height, crop, side)
                     text, instances = place_instances(items, t, r.stem, view == "v7")
@@ -103,17 +105,88 @@ def views(spark: SparkSession, root: str, side: int = 640, version: str = "annol
     return pictures.join(lines, ["split", "stem"], "left").mapInPandas(run, VIEW_ROWS)
 
 
-def build(spark: SparkSession, root: str, destination: str, side: int = 640, overwrite: bool = False) -> None:
-    """Publish views as a table, label files and metadata lines, all or nothing."""
+def build(spark: SparkSession, root: str, destination: str, side: int = 640, overwrite: bool = False, eval_crops: bool = False) -> int:
+    """Publish views as image and label files with ``metadata/transforms.jsonl``, all or nothing; how many views there are.
+
+    ``destination`` is in a folder that all executors share.  Crops of other splits than train go to their ``_v7_eval`` folder.
+    """
+    written = 0
+
+    def write(staging: str) -> None:
+        nonlocal written
+        scratch = f"{staging}/.views"
+        views(spark, root, side, eval_crops=eval_crops).write.parquet(scratch)  # made once, written as files from there
+        made = spark.read.parquet(scratch)
+        folder = F.when((F.col("split") != "train") & (F.col("view") == "v7"), F.concat("split", F.lit("_v7_eval"))).otherwise(F.col("split"))
+        written = sinks.write_pairs(made.select(folder.alias("split"), "stem", _png_of(side)("pixels").alias("image"), F.array_join("lines", "\n").alias("text")), staging)
+        lines = made.select("split", "stem", "metadata").repartitionByRange("split", "stem").sortWithinPartitions("split", "stem").select("metadata")
+        os.makedirs(f"{staging}/metadata")
+        with open(f"{staging}/metadata/transforms.jsonl", "w", encoding="utf-8", newline="\n") as f:  # a partition at a time on the driver
+            f.writelines(f"{r.metadata}\n" for r in lines.toLocalIterator())
+        shutil.rmtree(scratch)
+
+    sinks.publish(destination, write, overwrite)
+    return written
+
+
+def _png_of(side: int):
+    @F.pandas_udf("binary")
+    def encode(pixels: pd.Series) -> pd.Series:
+        return pixels.map(lambda b: raster.png(np.frombuffer(b, np.uint8).reshape(side, side, 3)))
+
+    return encode
+
+
+def augment(spark: SparkSession, source: str, destination: str, n: int = 3, least_area: float = 50.0, excluded: int = 5, overwrite: bool = False) -> dict:
+    """Publish a built dataset with ``n`` augmented copies of each training image without a polygon of the excluded class; attempts and saved.
+
+    Originals of all splits (and crops of val and test) pass through as they are, as does an image without labels.  An attempt that leaves no polygon of
+    ``least_area`` is skipped.
+    """
+    found: dict = {}
 
     def write(staging: str) -> None:
-        made = views(spark, root, side)
-        made.write.partitionBy("split", "view").parquet(f"{staging}/views")
-        kept = spark.read.parquet(f"{staging}/views")
-        kept.select("stem", F.array_join("lines", "\n").alias("text"), "split").write.parquet(f"{staging}/labels")
-        kept.orderBy("split", "stem").select(F.col("metadata").alias("value")).coalesce(1).write.text(f"{staging}/metadata")
+        pictures = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(f"{source}/images").select("path", F.col("content").alias("image"))
+        keyed = pictures.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("split"), labels.stem(F.col("path")).alias("stem"), "image")
+        folders = [*files.SPLITS, *[f"{s}_v7_eval" for s in files.SPLITS[1:]]]
+        texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(f"{source}/labels").select("path", "content")
+        texts = texts.unionByName(labels.empty_files(spark, f"{source}/labels")).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("split"), labels.stem(F.col("path")).alias("stem"), F.col("content").cast("string").alias("text"))
+        passed = keyed.where(F.col("split").isin(*folders)).join(texts, ["split", "stem"], "left")
+        found["passed"] = sinks.write_pairs(passed, staging)
+
+        polygons = labels.read_strict(spark, f"{source}/labels/train")
+        items = polygons.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("line_no", "class_id", "points"))).alias("items"))
+        drawn = spark.read.format("image").load(f"{source}/images/train").select("image.*").select(labels.stem(F.col("origin")).alias("stem"), "height", "width", "nChannels", "data", "origin")
+        eligible = R.eligible_to_build(drawn, polygons, ["stem"], excluded).join(items, "stem", "left")
+        tried = R.attempts(eligible, n).withColumn("seed", F.pmod(F.xxhash64("stem", "attempt"), F.lit(1 << 31)))
+        found["attempts"] = n * eligible.count()
+        found["saved"] = sinks.write_pairs(tried.mapInPandas(_attempts(least_area), "split string, stem string, image binary, text string"), staging)
+        found["skipped"] = found["attempts"] - found["saved"]
 
     sinks.publish(destination, write, overwrite)
+    return found
+
+
+def _attempts(least_area: float):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.width <= 0:
+                    raise ValueError(f"unreadable image: {r.origin}")
+                draw, lines = raster.Augmentation(r.width, r.height, int(r.seed)), []
+                size = np.array([r.width, r.height], float)
+                for i in r.items if r.items is not None else ():
+                    moved = draw.points(np.array([(v["x"], v["y"]) for v in i["points"]]) * size)
+                    if len(moved) >= 3 and raster.area_float32(moved) >= least_area:
+                        lines.append(serialize(i["class_id"], moved, size))
+                if lines:
+                    image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                    image = np.repeat(image, 3, axis=2) if r.nChannels == 1 else image[..., :3]
+                    out.append(("train", f"{r.stem}_aug{r.attempt}", raster.png(draw.image(image)), "\n".join(lines)))
+            yield pd.DataFrame(out, columns=["split", "stem", "image", "text"])
+
+    return run
 
 
 def augmented_labels(images: DataFrame, polygons: DataFrame, side: int, n: int = 3, least_area: float = 50.0) -> DataFrame:
@@ -126,7 +199,7 @@ def augmented_labels(images: DataFrame, polygons: DataFrame, side: int, n: int =
             for r in pdf.itertuples(index=False):
                 p = np.array([(v["x"], v["y"]) for v in r.points]) * side
                 moved = raster.augment_points(p, side, side, int(r.seed))
-                if len(moved) >= 3 and K.area(moved) >= least_area:
+                if len(moved) >= 3 and raster.area_float32(moved) >= least_area:
                     out.append((r.stem, r.attempt, r.class_id, [{"x": x, "y": y} for x, y in (np.clip(moved, 0, side) / side).tolist()]))
             yield pd.DataFrame(out, columns=["stem", "attempt", "class_id", "points"])
 

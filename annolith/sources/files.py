@@ -80,22 +80,53 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _plain(text: str) -> str:
+    """A scalar without its comment and quotes."""
+    text = text.strip()
+    if text[:1] in "'\"" and text[:1] and (end := text.find(text[0], 1)) > 0:
+        return text[1:end]
+    return text.split(" #")[0].strip()
+
+
+def _flow(text: str) -> dict[int, str]:
+    """Names of a flow list or a flow map."""
+    inner = text.strip()[1:].rsplit("]" if text.strip()[0] == "[" else "}", 1)[0]
+    parts = [p for p in inner.split(",") if p.strip()]
+    if text.strip()[0] == "[":
+        return {i: _plain(p) for i, p in enumerate(parts)}
+    return {int(_plain(k)): _plain(v) for k, _, v in (p.partition(":") for p in parts)}
+
+
 def dataset_config(path: str) -> dict:
-    """Folders and class names of a flat ``key: value`` dataset description; the test folders must exist."""
+    """Folders and class names of a dataset description; the test folders must exist.
+
+    The description is flat ``key: value`` lines; ``names`` is a map or a list, in block or flow style, in which no name has a comma or a colon.
+    """
     config: dict = {"names": {}}
+    inside = False
     with open(path, encoding="utf-8") as f:
         for line in f:
-            key, colon, value = line.split("#")[0].rstrip().partition(":")
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            item = line.strip()
+            if inside and item.startswith("- "):
+                config["names"][len(config["names"])] = _plain(item[2:])
+                continue
+            key, colon, value = line.rstrip().partition(":")
             if not colon:
                 continue
-            if key.startswith((" ", "\t")):
-                config["names"][int(key)] = value.strip()
-            elif value.strip():
-                config[key.strip()] = value.strip()
+            if line[0] in " \t":
+                if inside:
+                    config["names"][int(_plain(key))] = _plain(value)
+                continue
+            inside = key.strip() == "names"
+            if inside and value.strip()[:1] in ("[", "{"):
+                config["names"] = _flow(value)
+            elif not inside and _plain(value):
+                config[key.strip()] = _plain(value)
     root = os.path.join(os.path.dirname(os.path.abspath(path)), config.get("path", "."))
-    images = os.path.join(root, config["test"])
-    out = {"root": root, "images": images, "labels": images.replace("images", "labels", 1) if "images" in config["test"] else images, "names": [config["names"][k] for k in sorted(config["names"])]}
-    out["labels"] = os.path.join(root, config["test"].replace("images", "labels", 1))
+    test = config.get("test", "images/test")
+    out = {"root": root, "images": os.path.join(root, test), "labels": os.path.join(root, test.replace("images/", "labels/", 1)), "names": [config["names"][k] for k in sorted(config["names"])]}
     for kind in ("images", "labels"):
         if not os.path.isdir(out[kind]):
             raise FileNotFoundError(f"no {kind} folder: {out[kind]}")

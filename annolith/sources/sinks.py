@@ -13,6 +13,7 @@ import json
 import math
 import os
 import shutil
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -109,29 +110,38 @@ def exclusive(path: str) -> Iterator[None]:
         os.unlink(path)
 
 
-def write_pairs(rows: DataFrame, folder: str) -> None:
-    """(split, stem, image, text) rows as ``images/<split>/<stem>.jpg`` and ``labels/<split>/<stem>.txt``.
+def write_pairs(rows: DataFrame, folder: str, suffix: str = ".png") -> int:
+    """(split, stem, image, text) rows as ``images/<split>/<stem><suffix>`` and ``labels/<split>/<stem>.txt``; how many there were.
 
-    ``folder`` must be one that all executors share.  An image whose label can't be written goes.
+    ``folder`` must be one that all executors share.  A file appears whole (a task that is run again replaces it by the same), an image whose label can't
+    be written goes, and a null text makes no label file.
     """
 
+    def put(path: Path, data: bytes) -> None:
+        path.parent.mkdir(parents=True, exist_ok=True)
+        part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
+        try:
+            part.write_bytes(data)
+            os.replace(part, path)
+        finally:
+            part.unlink(missing_ok=True)
+
     def write(batches):
         n = 0
         for pdf in batches:
             for split, name, image, text in zip(pdf["split"], pdf["stem"], pdf["image"], pdf["text"], strict=True):
-                picture, label = Path(folder, "images", split, f"{name}.jpg"), Path(folder, "labels", split, f"{name}.txt")
-                for p in (picture, label):
-                    p.parent.mkdir(parents=True, exist_ok=True)
-                picture.write_bytes(image)
+                picture = Path(folder, "images", split, f"{name}{suffix}")
+                put(picture, image)
                 try:
-                    label.write_text(text or "", encoding="utf-8", newline="\n")
+                    if text is not None:
+                        put(Path(folder, "labels", split, f"{name}.txt"), text.encode())
                 except OSError:
                     picture.unlink(missing_ok=True)
                     raise
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    rows.select("split", "stem", "image", "text").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return rows.select("split", "stem", "image", "text").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def json_lines(records: DataFrame) -> DataFrame:
@@ -174,12 +184,37 @@ def file_sha256(path: str, block: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
-def provenance(checkpoint: str, metrics: dict, arguments: dict, versions: dict) -> dict:
-    """A run's record: when, of what, with which arguments and versions, and what it found."""
+def provenance(checkpoint: str, metrics: dict, arguments: dict, versions: dict, effective: dict | None = None) -> dict:
+    """A run's record: of what, with which arguments and versions, and what it found.
+
+    arguments: those asked for, of which batch, data, device, resolved_device, save_dir, seed and workers have fields of their own.  effective: those
+    that the run itself reports, if it does.
+    """
     got, missing = extract_metrics(metrics)
+    plain = lambda found: {k: v if isinstance(v, str | bool | type(None)) else json_scalar(v) for k, v in sorted(found.items())}
+    asked = plain(arguments)
     return {
-        "created_at_utc": datetime.datetime.now(datetime.timezone.utc).isoformat(),
+        "schema_version": 1, "timestamp_utc": datetime.datetime.now(datetime.timezone.utc).isoformat(),
         "checkpoint": os.path.abspath(checkpoint), "checkpoint_sha256": file_sha256(checkpoint), "checkpoint_size": os.path.getsize(checkpoint),
-        "arguments": {k: v if isinstance(v, str | bool | type(None)) else json_scalar(v) for k, v in sorted(arguments.items())},
-        "versions": dict(sorted(versions.items())), "metrics": got, "missing_metrics": missing, "complete": not missing,
+        "data": asked.get("data"), "split": asked.get("split", "test"), "imgsz": asked.get("imgsz", 640), "batch": asked.get("batch"), "workers": asked.get("workers"), "seed": asked.get("seed"),
+        "requested_device": asked.get("device"), "resolved_device": asked.get("resolved_device", asked.get("device")), "save_dir": asked.get("save_dir"),
+        "python_version": sys.version, "versions": dict(sorted(versions.items())), "requested_val_args": asked,
+        "effective_val_args": asked if effective is None else plain(effective), "effective_args_source": "requested" if effective is None else "run",
+        "metrics": got, "missing_metrics": missing, "complete": not missing,
     }
+
+
+def positive_int(value) -> int:
+    """A whole number above 0; else an error."""
+    return _whole(value, 1, "positive")
+
+
+def natural_int(value) -> int:
+    """A whole number from 0 on; else an error."""
+    return _whole(value, 0, "nonnegative")
+
+
+def _whole(value, least: int, kind: str) -> int:
+    if isinstance(value, bool) or not (isinstance(value, int) or isinstance(value, str) and value.strip().lstrip("+-").isdecimal()) or int(value) < least:
+        raise ValueError(f"must be a {kind} integer: {value!r}")
+    return int(value)

@@ -8,7 +8,7 @@ import pytest
 from annolith.functions import raster as M
 from annolith.operators import relational as R
 from annolith.operators.bootstrap import replay
-from annolith.plans import build_paired, dataset_audit, scoring
+from annolith.plans import build_paired, dataset_audit, paired_audit, scoring
 from annolith.sources import files, labels, sinks
 from dataset import png
 from hypothesis import given, settings
@@ -203,8 +203,8 @@ def test_building_views(spark, tmp_path):
     for r in rows:
         m = json.loads(r.metadata)
         assert len(r.pixels) == 64 * 64 * 3 and len(r.lines) == m["output_instance_count"] == 2 and m["input_instance_count"] == 2
-    build_paired.build(spark, str(tmp_path), str(tmp_path / "out"), side=64)
-    assert spark.read.parquet(str(tmp_path / "out/views")).count() == 3
+    assert build_paired.build(spark, str(tmp_path), str(tmp_path / "out"), side=64) == 3
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.*")) == sorted([f"{s}.{e}" for s in ("isic_1_v1", "isic_1_v7", "isic_2_v1") for e in ("png", "txt")] + ["transforms.jsonl"])
     polygons = labels.parse(labels.read_lines(spark, str(tmp_path / "labels"), recursive=True)).where("stem = 'isic_1'")
     images = spark.createDataFrame([("isic_1",), ("isic_9",)], "stem string")
     assert build_paired.augmented_labels(images, polygons, 640).count() == 0
@@ -244,3 +244,73 @@ def test_empty_label_files_are_errors_in_scoring(spark, tmp_path):
     with pytest.raises(Exception, match="empty label file"):
         labels.first_polygon(lines, 640).collect()
     assert [r.stem for r in labels.parse(lines).collect()] == ["b"]  # strict readers see no line in it
+
+
+def test_build_audit_and_augment(spark, tmp_path):
+    """What the build writes passes its own audit, is augmented, and the originals pass through."""
+    rnd = np.random.default_rng(5)
+    lines = {"isic_1": "2 0.1 0.1 0.9 0.1 0.9 0.9 0.1 0.9", "isic_2": "5 0.2 0.2 0.8 0.2 0.5 0.7", "isic_3": "", "isic_4": "1 0.3 0.3 0.6 0.3 0.6 0.6", "isic_5": "0 0.1 0.2 0.5 0.2 0.3 0.6"}
+    for stem, split in (("isic_1", "train"), ("isic_2", "train"), ("isic_3", "train"), ("isic_4", "val"), ("isic_5", "test")):
+        png(tmp_path / "src/images" / split / f"{stem}.png", rnd.integers(30, 255, (44, 60, 3)))
+        (tmp_path / "src/labels" / split).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src/labels" / split / f"{stem}.txt").write_text(lines[stem])
+    built = tmp_path / "built"
+    assert build_paired.build(spark, str(tmp_path / "src"), str(built), side=96, eval_crops=True) == 10
+    report = paired_audit.audit(spark, str(built), str(built / "metadata/transforms.jsonl"))
+    assert report["reason_counts"] == {} and report["publication_gate_passed"]
+    found = build_paired.augment(spark, str(built), str(tmp_path / "more"))
+    assert found == {"passed": 10, "attempts": 12, "saved": 6, "skipped": 6}  # both views of isic_1; isic_3 has no polygon to draw
+    for kind in ("images", "labels"):
+        assert {p.name: p.read_bytes() for p in (built / kind).rglob("*.*")}.items() <= {p.name: p.read_bytes() for p in (tmp_path / "more" / kind).rglob("*.*")}.items()
+    made = sorted(p.stem for p in (tmp_path / "more/images/train").glob("*_aug*"))
+    assert made == sorted(f"isic_1_{v}_aug{k}" for v in ("v1", "v7") for k in range(3))
+    assert files.decode_images(spark, str(tmp_path / "more/images"), strict=True).where("readable").count() == 16
+    assert labels.read_strict(spark, str(tmp_path / "more/labels"), recursive=True).count() == 8 + 6
+    again = build_paired.augment(spark, str(built), str(tmp_path / "again"))
+    assert again == found
+    assert {p.name: p.read_bytes() for p in (tmp_path / "again").rglob("*.png")} == {p.name: p.read_bytes() for p in (tmp_path / "more").rglob("*.png")}
+
+
+def test_augmented_pixels_follow_their_points():
+    image = np.zeros((90, 90, 3), np.uint8)
+    image[40:51, 60:71] = 255
+    for seed in range(40):
+        draw = M.Augmentation(90, 90, seed)
+        x, y = np.rint(draw.points([[65, 45]])[0]).astype(int)
+        out = draw.image(image)
+        assert out.shape == image.shape and out.dtype == np.uint8
+        if 0 <= x < 90 and 0 <= y < 90:
+            assert out[y, x].min() > 150
+    assert len({M.Augmentation(90, 90, s).points([[1.0, 2.0]]).tobytes() for s in range(40)}) > 30
+
+
+def test_inpainting_fills_from_the_edge():
+    image = np.full((20, 30, 3), (10, 120, 200), np.uint8)
+    mask = np.zeros((20, 30), bool)
+    mask[8:12, 3:27] = True
+    spoiled = image.copy()
+    spoiled[mask] = 0
+    assert (M.inpainted(spoiled, mask) == image).all()
+    image[:, 15:] = 90
+    assert (M.inpainted(image, np.ones((20, 30), bool)) == image).all()
+    assert set(np.unique(M.inpainted(image, mask)[9, :5])) <= {10, 120, 200}
+
+
+@pytest.mark.parametrize("names", ["names: [a, 'b c', d]  # three", "names: {0: a, 2: d, 1: \"b c\"}", "names:\n- a\n- b c\n- d", "names:\n  - a\n  - b c\n  - d", "names:\n  0: a\n  1: b c\n  2: d"])
+def test_descriptions(tmp_path, names):
+    for kind in ("images", "labels"):
+        (tmp_path / "d" / kind / "test").mkdir(parents=True, exist_ok=True)
+    (tmp_path / "d.yaml").write_text(f"# about\npath: d\n{names}\nnc: 3\n")
+    got = files.dataset_config(str(tmp_path / "d.yaml"))
+    assert got["names"] == ["a", "b c", "d"] and got["labels"].endswith("labels/test")
+
+
+def test_numeric_domains_and_records(tmp_path):
+    assert [sinks.positive_int(v) for v in (1, "7", " 3 ")] == [1, 7, 3] and sinks.natural_int("0") == 0
+    for bad in (0, -1, "x", 1.5, True, None, "1.0", ""):
+        with pytest.raises(ValueError, match="integer"):
+            sinks.positive_int(bad)
+    (tmp_path / "w").write_bytes(b"x")
+    got = sinks.provenance(str(tmp_path / "w"), {}, {"batch": 4, "seed": 0, "device": None, "data": "d.yaml", "workers": 2, "save_dir": "s"}, {"v": "1"})
+    assert (got["schema_version"], got["batch"], got["seed"], got["workers"], got["split"], got["imgsz"], got["effective_args_source"]) == (1, 4, 0, 2, "test", 640, "requested")
+    assert sinks.provenance(str(tmp_path / "w"), {}, {"batch": 4}, {}, {"batch": 8})["effective_val_args"] == {"batch": 8}
