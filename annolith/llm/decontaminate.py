@@ -10,8 +10,9 @@ discard what would leave the document, and the survivors are compared word by
 word and byte by byte.
 
 The benchmark is read in blocks of at most ``block_words`` words (a stated query
-set against all rows), each a broadcast of bounded size; documents pass the
-blocks one after another inside one stage, without a shuffle.
+set against all rows), each a broadcast of bounded size (about 70 bytes a word).  Rarity is counted for ``count_words`` words of
+blocks in one pass over the documents; then documents pass all blocks one after another in one stage, without a shuffle.
+A benchmark of w words so takes 1 + w / ``count_words`` passes, and the driver holds no more than the blocks of one counting pass.
 
 Cases: null and empty texts have no words and no hits.  Null item ids count as
 the empty string; rows that repeat an item id are one item.  Repeated document
@@ -34,69 +35,81 @@ from pyspark.sql import types as T
 from annolith.llm import _bytes as B
 from annolith.llm._store import bounded, tidied
 
-BLOCK_WORDS = 50_000
-_BITS = 20
+BLOCK_WORDS = 250_000
+COUNT_WORDS = 1_000_000
 _STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 _ARROW_STATE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _sieve(keys: np.ndarray) -> np.ndarray:
-    bits = np.zeros(1 << _BITS, bool)
-    bits[keys >> np.uint64(64 - _BITS)] = True
-    return bits
+@dataclass
+class Lookup:
+    """Sorted keys with a table of about sixteen bits a key, by the keys' upper bits."""
+
+    keys: np.ndarray
+    sieve: np.ndarray
+    shift: np.uint64
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Lookup:
+        bits = max(10, (16 * len(keys)).bit_length())
+        sieve = np.zeros(1 << bits, bool)
+        sieve[keys >> np.uint64(64 - bits)] = True
+        return cls(keys, sieve, np.uint64(64 - bits))
+
+    def find(self, sought: np.ndarray) -> np.ndarray:
+        """Where keys that are held stand in ``sought``."""
+        at = np.flatnonzero(self.sieve[sought >> self.shift])
+        place = np.searchsorted(self.keys, sought[at])
+        return at[self.keys[np.minimum(place, len(self.keys) - 1)] == sought[at]]
 
 
 @dataclass
 class Block:
-    """Distinct windows of some items, with the words they are made of."""
+    """Words of some items and the distinct windows among them: first word, size, and which items have it (``owner[owner_at[i] : owner_at[i + 1]]``)."""
 
     buf: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    size: np.ndarray
-    words: np.ndarray
     hashes: np.ndarray
-    owners: list[list[str]]
+    first: np.ndarray
+    size: np.ndarray
+    items: list[str]
+    owner: np.ndarray
+    owner_at: np.ndarray
     shingle: int
     #: by shingle size: keys (sorted, may repeat), their windows and places within them
-    index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    sieve: dict[int, np.ndarray] = field(default_factory=dict)
+    index: dict[int, tuple[Lookup, np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    @property
+    def words(self) -> int:
+        return len(self.start)
 
     def shingles(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By shingle size: keys, windows and places of all shingles of all windows, sorted by key."""
+        """By shingle size: keys, windows and places of all shingles of all windows."""
         found: dict[int, list] = {}
         for length in np.unique(self.size):
             rows = np.flatnonzero(self.size == length)
             k = min(self.shingle, int(length))
-            flat = self.hashes[rows, :length]
+            s = B.shingle_hashes(self.hashes, k)
             for place in range(int(length) - k + 1):
-                keys = np.array([B.shingle_hashes(r, k)[0] for r in np.ascontiguousarray(flat[:, place : place + k])], dtype=np.uint64)
-                found.setdefault(k, []).append((keys, rows, np.full(len(rows), place)))
-        out = {}
-        for k, parts in found.items():
-            keys, rows, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys, kind="stable")
-            out[k] = keys[order], rows[order], places[order]
-        return out
+                found.setdefault(k, []).append((s[self.first[rows] + place], rows, np.full(len(rows), place)))
+        return {k: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for k, parts in found.items()}
 
-    def watch_all(self) -> Block:
-        """Look up every shingle, for counting."""
-        for k, (keys, _, _) in self.shingles().items():
-            keys = np.unique(keys)
-            self.index[k], self.sieve[k] = (keys, keys, keys), _sieve(keys)
-        return self
-
-    def watch_rarest(self, counts: dict[tuple[int, int], int]) -> Block:
-        """Look up each window's rarest shingle only."""
-        self.index, self.sieve = {}, {}
+    def watch_rarest(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> Block:
+        """Look up each window's rarest shingle only; counts: by shingle size, sorted keys and how often they occur."""
+        self.index = {}
         for k, (keys, rows, places) in self.shingles().items():
-            seen = np.array([counts.get((k, int(x)), 0) for x in keys.astype(np.int64)], dtype=np.int64)
+            known, n = counts.get(k, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            seen = np.where(B.within(keys, known), n[np.minimum(np.searchsorted(known, keys), len(known) - 1)], 0) if len(known) else np.zeros(len(keys), np.int64)
             order = np.lexsort((keys, seen, rows))
             first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
             first = first[np.argsort(keys[first], kind="stable")]
-            self.index[k], self.sieve[k] = (keys[first], rows[first], places[first]), _sieve(keys[first])
+            self.index[k] = Lookup.of(keys[first]), rows[first], places[first]
         return self
 
+    def owners(self, windows: np.ndarray) -> set[str]:
+        return {self.items[o] for x in windows for o in self.owner[self.owner_at[x] : self.owner_at[x + 1]]}
+
 
 def make_block(items: list[tuple[str, str]], window: int, shingle: int) -> Block | None:
     """Windows of (id, text) pairs; None if there are no words."""
@@ -107,16 +120,26 @@ def make_block(items: list[tuple[str, str]], window: int, shingle: int) -> Block
     if not len(w):
         return None
     h = B.word_hashes(chunk.buf, w)
-    found: dict[bytes, tuple[int, int, set[str]]] = {}
-    for i, (item, _) in enumerate(items):
-        a, b = int(w.row[i]), int(w.row[i + 1])
-        size = min(window, b - a)
-        for s in range(a, b - size + 1) if size else ():
-            text = b"\x00".join(B.LOWER[chunk.buf[w.start[j] : w.end[j]]].tobytes() for j in range(s, s + size))
-            found.setdefault(text, (s, size, set()))[2].add(item or "")
-    first, size, owners = zip(*found.values(), strict=True)
-    at = np.minimum(np.array(first)[:, None] + np.arange(window), len(w) - 1)
-    return Block(chunk.buf.copy(), w.start, w.end, np.array(size), at, h[at], [sorted(o) for o in owners], shingle)
+    size = np.minimum(window, w.counts)
+    n = np.where(size > 0, w.counts - size + 1, 0)
+    item = np.repeat(np.arange(len(items)), n)
+    first = np.repeat(w.row[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    size = size[item]
+    # windows of the same words are one
+    same = np.arange(len(first))
+    for length in np.unique(size):
+        rows = np.flatnonzero(size == length)
+        key = B.shingle_hashes(h, int(length))[first[rows]]
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        a, b = rows, rows[one[which]]
+        span = np.arange(int(length))
+        x, y = (first[a][:, None] + span).ravel(), (first[b][:, None] + span).ravel()
+        equal = B.same_bytes(chunk.buf, w.start[x], w.end[x], chunk.buf, w.start[y], w.end[y]).reshape(len(rows), -1).all(axis=1)
+        same[rows] = np.where(equal, b, a)
+    kept, which = np.unique(same, return_inverse=True)
+    names = {name: i for i, name in enumerate(sorted({i or "" for i, _ in items}))}
+    own = np.unique(np.stack([which, np.array([names[i or ""] for i, _ in items], dtype=np.int64)[item]]), axis=1)
+    return Block(chunk.buf.copy(), w.start, w.end, h, first[kept], size[kept], list(names), own[1], np.searchsorted(own[0], np.arange(len(kept) + 1)), shingle)
 
 
 def blocks(items: DataFrame, item_id: str, text: str, window: int, shingle: int, block_words: int) -> Iterator[Block]:
@@ -148,15 +171,13 @@ def _cut(text: str, window: int, block_words: int) -> Iterator[str]:
             yield chunk.buf[w.start[s] : w.end[e - 1]].tobytes().decode()
 
 
-def _lookups(block: Block, w: B.Words, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(shingle size, word places, their keys) of document shingles that the block watches."""
+def _lookups(held: dict[int, Lookup], w: B.Words, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shingle size, word places, their keys) of document shingles that are looked up."""
     last = np.repeat(w.row[1:], w.counts)
-    for k, (keys, _, _) in block.index.items():
+    for k, lookup in held.items():
         s = B.shingle_hashes(h, k)
-        place = np.flatnonzero(block.sieve[k][s >> np.uint64(64 - _BITS)])
+        place = lookup.find(s)
         place = place[place + k <= last[place]]
-        at = np.searchsorted(keys, s[place])
-        place = place[keys[np.minimum(at, len(keys) - 1)] == s[place]]
         if len(place):
             yield k, place, s[place]
 
@@ -165,9 +186,9 @@ def occurrences(block: Block, buf: np.ndarray, w: B.Words, h: np.ndarray) -> tup
     """First words and windows of all occurrences of the block's windows."""
     first, which = [], []
     row_of = w.row_of()
-    for k, place, key in _lookups(block, w, h):
-        keys, windows, offsets = block.index[k]
-        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    for k, place, key in _lookups({k: x[0] for k, x in block.index.items()}, w, h):
+        lookup, windows, offsets = block.index[k]
+        lo, hi = np.searchsorted(lookup.keys, key, "left"), np.searchsorted(lookup.keys, key, "right")
         n = hi - lo
         entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         begin, win = np.repeat(place, n) - offsets[entry], windows[entry]
@@ -177,10 +198,10 @@ def occurrences(block: Block, buf: np.ndarray, w: B.Words, h: np.ndarray) -> tup
         for length in np.unique(size):
             b, x = begin[size == length], win[size == length]
             span = np.arange(int(length))
-            same = (h[b[:, None] + span] == block.hashes[x, :length]).all(axis=1)
+            same = (h[b[:, None] + span] == block.hashes[block.first[x][:, None] + span]).all(axis=1)
             b, x = b[same], x[same]
             if len(b):
-                place2, theirs = (b[:, None] + span).ravel(), block.words[x, :length].ravel()
+                place2, theirs = (b[:, None] + span).ravel(), (block.first[x][:, None] + span).ravel()
                 ok = B.same_bytes(buf, w.start[place2], w.end[place2], block.buf, block.start[theirs], block.end[theirs]).reshape(len(b), -1).all(axis=1)
                 first.append(b[ok])
                 which.append(x[ok])
@@ -216,28 +237,40 @@ def _mark(block: Block, texts: pa.Array, state: list[dict | None]) -> list[dict]
                 for s, e in zip(old["spans"][::2], old["spans"][1::2], strict=True):
                     step[s] += 1
                     step[e] -= 1
-                ids = {o for x in np.unique(which[here]) for o in block.owners[x]} | set(old["items"])
+                ids = block.owners(np.unique(which[here])) | set(old["items"])
                 old = {"spans": _runs(np.cumsum(step)[:-1] > 0).tolist(), "items": sorted(ids)}
             out.append({"n_words": int(w.row[i + 1] - w.row[i])} | {k: old[k] for k in ("spans", "items")})
     return out
 
 
-def _rarity(docs: DataFrame, text: str, block) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block occurs in all documents."""
+def _rarity(docs: DataFrame, text: str, found: list[Block]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shingle size: the blocks' shingles, sorted, and how often each occurs in all documents."""
+    held: dict[int, list[np.ndarray]] = {}
+    for block in found:
+        for k, (keys, _, _) in block.shingles().items():
+            held.setdefault(k, []).append(keys)
+    watched = docs.sparkSession.sparkContext.broadcast({k: Lookup.of(np.unique(np.concatenate(v))) for k, v in held.items()})
 
     def count(batches):
         for batch in batches:
             for chunk in B.chunks(batch.column(0)):
                 w = B.words(chunk, B.ALNUM)
-                for k, _, key in _lookups(block.value, w, B.word_hashes(chunk.buf, w)):
+                for k, _, key in _lookups(watched.value, w, B.word_hashes(chunk.buf, w)):
                     keys, n = np.unique(key, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k), pa.int32()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "key", "n"])
 
     counted = docs.select(F.col(text)).mapInArrow(tidied(count), "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
-    return {(k, key): n for k, key, n in counted.toLocalIterator()}  # no more rows than the block has shingles
+    table = counted.toArrow()  # no more rows than the blocks have shingles
+    size, key, n = (table.column(c).to_numpy() for c in ("k", "key", "n"))
+    out = {}
+    for k in np.unique(size):
+        mine = size == k
+        order = np.argsort(key[mine].view(np.uint64))
+        out[int(k)] = key[mine].view(np.uint64)[order], n[mine][order]
+    return out
 
 
-def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_words: int = BLOCK_WORDS, into: str = "hits") -> DataFrame:
+def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_words: int = BLOCK_WORDS, count_words: int = COUNT_WORDS, into: str = "hits") -> DataFrame:
     """``docs`` with a struct ``into``: n_words, covered word ranges (begin, end alternating) and sorted ids of occurring items.
 
     A column of ``docs`` that is called ``into`` already is replaced.
@@ -248,14 +281,26 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
     at = out.columns.index(text)
     out = out.withColumn(into, F.lit(None).cast(_STATE))
     context = docs.sparkSession.sparkContext
+    held: list[Block] = []
+
+    def marked(out: DataFrame) -> DataFrame:
+        counts = _rarity(docs, text, held)
+        for block in held:
+            out = out.mapInArrow(_marker(context.broadcast(block.watch_rarest(counts)), at), schema)
+        held.clear()
+        return out
+
     none = True
     for block in blocks(items, item_id, item_text, window, shingle, block_words):
         none = False
-        counts = _rarity(docs, text, context.broadcast(block.watch_all()))
-        out = out.mapInArrow(_marker(context.broadcast(block.watch_rarest(counts)), at), schema)
+        held.append(block)
+        if sum(b.words for b in held) >= count_words:
+            out = marked(out)
+    if held:
+        out = marked(out)
     if none:
-        empty = Block(*[np.zeros(0, np.int64)] * 4, *[np.zeros((0, window), np.int64)] * 2, [], shingle)
-        out = out.mapInArrow(_marker(context.broadcast(empty), at), schema)
+        nothing = np.zeros(0, np.int64)
+        out = out.mapInArrow(_marker(context.broadcast(Block(*[nothing] * 6, [], nothing, np.zeros(1, np.int64), shingle)), at), schema)
     return out
 
 

@@ -55,9 +55,15 @@ def report(spark, docs, items, **options):
     return sorted(map(tuple, D.contamination_report(d, i, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize("block_words", [50_000, 12, 3])
-def test_matches_brute_force(spark, block_words):
-    assert report(spark, DOC_ROWS, ITEM_ROWS, block_words=block_words) == brute(DOC_ROWS, ITEM_ROWS)
+@pytest.mark.parametrize(("block_words", "count_words"), [(50_000, 1_000_000), (12, 20), (12, 1_000_000), (3, 1)])
+def test_matches_brute_force(spark, block_words, count_words):
+    assert report(spark, DOC_ROWS, ITEM_ROWS, block_words=block_words, count_words=count_words) == brute(DOC_ROWS, ITEM_ROWS)
+
+
+def test_windows_of_the_same_words_are_one():
+    block = D.make_block([("b", ITEM), (None, "x y"), ("a", ITEM.upper()), ("a", "X, y")], 10, 5)
+    assert len(block.first) == 7 + 1 and block.words == 2 * 16 + 4
+    assert [sorted(block.owners([i])) for i in range(8)] == [["a", "b"]] * 7 + [["", "a"]]
 
 
 def test_other_windows(spark):
