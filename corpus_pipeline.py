@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolith.llm import language
-from annolith.llm._store import ensure_checkpoint_dir
+from annolith.llm._store import ensure_checkpoint_dir, remove
 from annolith.llm.decontaminate import decontaminate
 from annolith.llm.exact_dedup import keep_first
 from annolith.llm.near_dup import keep_one
@@ -59,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared folder."""
+    """All stages over ``documents``; what a stage keeps is written to the shared folder, and deleted when the next stage is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
