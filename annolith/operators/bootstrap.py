@@ -18,22 +18,42 @@ def draw(seed: Column | str, replicate: Column, position: Column, n: Column) ->
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % n
 
 
+#: Ranges that rows are numbered in, and rows that may be broadcast (a few dozen bytes each).
+RANGES, BROADCAST = 64, 200_000
+
+
 def _numbered(rows: DataFrame, order: str, strata: list[str]) -> DataFrame:
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    return rows.withColumn("__pos", (F.row_number().over(w.orderBy(order)) - 1).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(w).cast("bigint"))
+    """``rows`` with their number in the order (within their stratum) and how many there are: numbered in ranges between a few marks, which
+    are taken evenly from the data, and moved up by the counts of the ranges before."""
+    marks = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(RANGES - 1).collect())
+    above = sum([(F.col(order) > m).cast("int") for m in marks], F.lit(0))
+    placed = rows.withColumn("__range", F.coalesce(above, F.lit(0)))
+    counts = placed.groupBy(*strata, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    every = Window.partitionBy(*(strata or [F.lit(0)]))  # a row for each range and stratum
+    before = counts.select(*[F.col(s).alias(f"__of_{s}") for s in strata], F.col("__range").alias("__at"), (F.sum("__rows").over(every.orderBy("__range")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(every).alias("__n"))
+    on = placed["__range"] == before["__at"]
+    for s in strata:
+        on = on & placed[s].eqNullSafe(before[f"__of_{s}"])
+    inner = F.row_number().over(Window.partitionBy(*strata, "__range").orderBy(order))
+    out = placed.join(before, on).withColumn("__pos", (F.col("__before") + inner - 1).cast("bigint"))
+    return out.drop("__range", "__at", "__before", *[f"__of_{s}" for s in strata])
 
 
 def replicate_means(rows: DataFrame, metrics: list[str], order: str, replicates: int, seed: int, strata: list[str] | None = None) -> DataFrame:
     """(replicate, metrics): means over drawn rows; with strata, draws within each and the mean of their means.
 
-    The sample is numbered once (a score table has a row for each image), and each replicate joins its draws by position.
+    Rows are numbered once and each replicate joins its draws by position: by a broadcast of at most ``BROADCAST`` rows, so that draws are averaged
+    where they are made, or else by a shuffle.
     """
     strata = strata or []
     base = _numbered(rows.select(order, *strata, *metrics), order, strata)
+    held = base.select(*strata, "__pos", *metrics)
+    if base.limit(BROADCAST + 1).count() <= BROADCAST:
+        held = F.broadcast(held)
     slots = base.select(*strata, "__pos", "__n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     text = [F.lit(str(seed)), F.col("replicate").cast("string"), F.col("__pos").cast("string")] + [F.col(s).cast("string") for s in strata]
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", *text).cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("__n")
-    drawn = slots.select(*strata, "replicate", pick.alias("__pos")).join(base.drop("__n"), [*strata, "__pos"])
+    drawn = slots.select(*strata, "replicate", pick.alias("__pos")).join(held, [*strata, "__pos"])
     means = drawn.groupBy("replicate", *strata).agg(*[F.avg(m).alias(m) for m in metrics])
     return means if not strata else means.groupBy("replicate").agg(*[F.avg(m).alias(m) for m in metrics])
 
