@@ -50,7 +50,7 @@ def corpus(seed, families=12, members=6):
 SPECIAL = [(1000, None), (1001, ""), (1002, " \n"), (1003, "One two"), (1004, "one  TWO"), (1004, "one two"), (None, "one two"), (None, None), (1005, "É two"), (1006, "é two")]
 
 
-@pytest.mark.parametrize(("size", "percent", "block_sets", "many"), [(4, 85, 4000, 64), (5, 80, 3, 2)])
+@pytest.mark.parametrize(("size", "percent", "block_sets", "many"), [(4, 85, 4000, 64), (5, 80, 3, 2), (3, 90, 7, 5)])
 def test_matches_brute_force(spark, size, percent, block_sets, many):
     rows = corpus(size) + SPECIAL
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string").repartition(3)
