@@ -84,6 +84,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: i
     would have been if every host had a full seed.  Kind 0 flows along, kind 1 against the links.  Hosts without links have no row.
     """
     edges = cut(edges)
+    if not edges.limit(1).count():
+        return edges.selectExpr("0 as kind", "src as host", "0L as score", "0L as received", "0L as even")
     both = edges.selectExpr("0 as kind", "src as host", "dst as to").unionAll(edges.selectExpr("1 as kind", "dst as host", "src as to"))
     degree = cut(both.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree")).withColumn("slices", F.ceil(F.col("degree") / hub)))
     flow = cut(both.join(degree.select("kind", "host", "slices"), ["kind", "host"]).withColumn("slice", F.pmod(F.xxhash64("to"), "slices")).drop("slices"))
