@@ -21,9 +21,9 @@ import pyarrow as pa
 
 from annolith.llm import _bytes as B
 
-SLOTS = 1 << 21
+SLOTS = 1 << 20
 #: Ids kept for all units of the table; beyond that it starts anew.
-KEPT = 1 << 22
+KEPT = 1 << 21
 LONG = 64
 _STOP = re.compile(r"[.!?…。！？]")
 _U = np.uint64
