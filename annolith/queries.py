@@ -451,6 +451,25 @@ def attempt_list(spark, sf_dir):
     return R.attempts(R.eligible_to_build(_users(spark, sf_dir), _events(spark, sf_dir), ["user_id"]))
 
 
+@query("""WITH c AS (SELECT 1 + event_id % 7 AS category_id FROM events), z AS (SELECT event_id % 7 AS category_id FROM events)
+SELECT 'from_one' AS kind, CAST(min(category_id) >= 1 AND max(category_id) = 7 AS INT) AS class_offset FROM c UNION ALL SELECT 'from_zero', CAST(min(category_id) >= 1 AND max(category_id) = 7 AS INT) FROM z""")
+def class_offset(spark, sf_dir):
+    e = table(spark, sf_dir, "events").selectExpr("1 + event_id % 7 as one", "event_id % 7 as zero")
+    found = [(kind, R.class_offset(e.select(F.col(c).alias("category_id")), 7)) for kind, c in (("from_one", "one"), ("from_zero", "zero"))]
+    return spark.createDataFrame(found, "kind string, class_offset int")
+
+
+@query("""WITH d AS (SELECT lang AS split, doc_id AS stem FROM documents), n AS (SELECT count(DISTINCT split) AS n FROM d)
+SELECT 'same' AS kind, true AS ok FROM n UNION ALL SELECT 'one_label_less', false FROM n UNION ALL SELECT 'one_image_more', false FROM n""")
+def layout_check(spark, sf_dir):
+    """The same stems on both sides; a label file too few; an image more than expected."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("split"), F.col("doc_id").alias("stem"))
+    counts = {r["split"]: r["n"] for r in d.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last = d.agg(F.max("stem")).first()[0]
+    sides = (("same", d, counts), ("one_label_less", d.where(F.col("stem") != last), counts), ("one_image_more", d, counts | {min(counts): counts[min(counts)] - 1}))
+    return spark.createDataFrame([(kind, R.layout_ok(d, labels_, expected)) for kind, labels_, expected in sides], "kind string, ok boolean")
+
+
 @query("""SELECT event_type, CASE WHEN isnan(x) OR isinf(x) THEN NULL ELSE x END AS x FROM (SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE CAST(event_id AS DOUBLE) END AS x FROM events)""")
 def json_numbers(spark, sf_dir):
     x = F.expr("case event_id % 4 when 0 then double('nan') when 1 then double('infinity') when 2 then double('-infinity') else cast(event_id as double) end")
