@@ -118,9 +118,10 @@ def same_points(a: str, b: str, tolerance: str) -> str:
 
 def same_ring(a: str, b: str, tolerance: str) -> str:
     """Equal up to the first vertex and the direction."""
-    turned = lambda p: f"concat(slice({p}, k + 1, size({p})), slice({p}, 1, k))"
-    either = f"{same_points(a, turned(b), tolerance)} or {same_points(a, turned(f'reverse({b})'), tolerance)}"
-    return f"(size({a}) = size({b}) and (size({a}) = 0 or exists({_indices(b)}, k -> {either})))"
+    near = lambda at: f"sqrt(pow({a}[i].x - {b}[{at}].x, 2) + pow({a}[i].y - {b}[{at}].y, 2)) <= {tolerance}"
+    ahead, back = near(f"(i + k) % size({b})"), near(f"(k - i + size({b})) % size({b})")
+    # a first vertex that differs ends a comparison, so most of them take one step
+    return f"(size({a}) = size({b}) and (size({a}) = 0 or exists({_indices(b)}, k -> forall({_indices(b)}, i -> {ahead}) or forall({_indices(b)}, i -> {back}))))"
 
 
 def box_iou(a: str, b: str) -> str:

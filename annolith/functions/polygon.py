@@ -109,17 +109,11 @@ def half_plane(p: Points, axis: int, bound: float, upper: bool) -> Points:
     if not len(p):
         return p
     inside = p[:, axis] >= bound if upper else p[:, axis] <= bound
-    out = []
-    for i in range(len(p)):
-        a, b = p[i - 1], p[i]
-        if inside[i] != inside[i - 1]:
-            step = b[axis] - a[axis]
-            c = a.copy() if step == 0.0 else a + (bound - a[axis]) / step * (b - a)
-            c[axis] = bound
-            out.append(c)
-        if inside[i]:
-            out.append(b)
-    return np.array(out).reshape(-1, 2)
+    before, crosses = np.roll(p, 1, axis=0), inside != np.roll(inside, 1)
+    step = np.where(crosses, p[:, axis] - before[:, axis], 1.0)
+    cut = before + ((bound - before[:, axis]) / step)[:, None] * (p - before)
+    cut[:, axis] = bound
+    return np.stack([cut, p], axis=1)[np.stack([crosses, inside], axis=1)]
 
 
 def clip(p: Points, rect) -> Points:

@@ -23,18 +23,21 @@ def fill(vertices: np.ndarray, height: int, width: int) -> np.ndarray:
     v = np.asarray(vertices, np.int64).reshape(-1, 2)
     if not len(v):
         return mask
-    for (ax, ay), (bx, by) in zip(v, np.roll(v, -1, axis=0), strict=True):
-        n = max(abs(bx - ax), abs(by - ay), 1)
-        t = np.arange(n + 1)
-        mask[np.floor(ay + (by - ay) * t / n + 0.5).astype(int), np.floor(ax + (bx - ax) * t / n + 0.5).astype(int)] = True
+    a, b = v, np.roll(v, -1, axis=0)
+    n = np.maximum(np.abs(b - a).max(axis=1), 1)
+    edge = np.repeat(np.arange(len(v)), n + 1)
+    t = (np.arange(len(edge)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1))[:, None]
+    drawn = np.floor(a[edge] + (b - a)[edge] * t / n[edge, None] + 0.5).astype(int)
+    mask[drawn[:, 1], drawn[:, 0]] = True
+    low, high = max(0, v[:, 1].min()), min(height - 1, v[:, 1].max())
+    rise = np.where(a[:, 1] == b[:, 1], 1, b[:, 1] - a[:, 1])
     xs = np.arange(width)
-    for y in range(max(0, v[:, 1].min()), min(height - 1, v[:, 1].max()) + 1):
-        a, b = v, np.roll(v, -1, axis=0)
+    rows = max(1, (1 << 22) // (len(v) * max(1, width)))  # rows at a time
+    for first in range(low, high + 1, rows):
+        y = np.arange(first, min(high + 1, first + rows))[:, None]
         spans = (a[:, 1] <= y) != (b[:, 1] <= y)
-        if spans.any():
-            a, b = a[spans], b[spans]
-            cross = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
-            mask[y] |= (cross[None] <= xs[:, None]).sum(axis=1) % 2 == 1
+        cross = np.where(spans, a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / rise, np.inf)
+        mask[y[:, 0]] |= (cross[:, :, None] <= xs).sum(axis=1) % 2 == 1
     return mask
 
 
