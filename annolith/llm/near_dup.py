@@ -9,9 +9,8 @@ coordinate minima and verifies what survives on the sets themselves.  A tree is
 in one task's memory, so the points are dealt to trees first, by a lossless rule
 over the same kind of groups (``Dealer``): sets that link differ in few shingles, so they
 agree on all that several pairs of groups hold.  Sets
-that agree on enough belong to one *block* (transitively), a block is one tree,
-and a block of over ``block_sets`` sets is a grid of trees, each pair of parts
-meeting once.
+that agree on enough belong to one *block* (transitively) and a block is one tree; a block of over ``block_sets`` sets is
+several, of which those that aren't joined yet meet all others.
 
 What moves: narrow (document, set key) rows; 17 bytes for each signature of each
 distinct set, combined per task before the shuffle so that a signature that very many sets
@@ -32,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
@@ -51,6 +50,8 @@ MANY = 64
 #: Upper ends of the size classes grow by this factor.
 RATIO = 1.6
 BLOCK_SETS = 4000
+#: Sets of a part's largest component that meet those of other parts first.
+SAMPLE = 32
 BUCKET_BYTES = 4 << 20
 FLUSH_BYTES = 12 << 20
 #: The filter of keys has eight bits for each, but no more than these (32 MB).
@@ -411,34 +412,76 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
 
     large = cut(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_sets).select("root", F.ceil(F.col("n") / block_sets).alias("parts")))
     placed = named(blocks, large, "root").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
-    sets = docs.select("text").mapInArrow(tidied(pick), "vertex long, shingles binary").join(placed, "vertex")
-    # part i of k meets every part j: tree (i, j) with i <= j
-    met = sets.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "shingles")
+    sets = docs.select("text").mapInArrow(tidied(pick), "vertex long, shingles binary").join(placed, "vertex").select("root", "part", F.lit(0).alias("side"), "vertex", "shingles", "parts")
+    if not large.limit(1).count():
+        return _trees(sets, percent)
+    sets = cut(sets)
+    wide = cut(sets.where("parts > 1").dropDuplicates(["vertex"]))  # a set comes from each task that met it
+    return _trees(sets.where("parts = 1"), percent).unionByName(_large_links(wide, placed.where("parts > 1"), percent, block_sets))
 
-    def join(batches):
-        def done(at, held):
+
+def _trees(members: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(a, b) verified links within each (root, part, more ...) of (root, part, side, vertex, shingles); where a tree has sides 0 and 1, between these only."""
+    keys = ["root", "part", *more]
+
+    def run(batches):
+        def done(held):
             if len(held) < 2:
                 return
-            keys = list(held)
-            side = np.array([p == at[2] for p, _ in held.values()]) if at[1] != at[2] else None
-            if side is not None and (side.all() or not side.any()):
+            side = np.array([s for s, _ in held])
+            if side.any() and side.all():
                 return
-            pairs = linked([s for _, s in held.values()], percent, side if side is None else side.astype(int))
+            pairs = linked(list(held.values()), percent, side if side.any() else None)
+            name = [v for _, v in held]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in pairs], pa.int64()), pa.array([keys[j] for _, j in pairs], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([name[i] for i, _ in pairs], pa.int64()), pa.array([name[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
         at, held = None, {}
         for batch in batches:
-            root, i, j, part, vertex = (batch.column(c).to_pylist() for c in range(5))
-            for r in range(batch.num_rows):
-                if (here := (root[r], i[r], j[r])) != at:
-                    yield from done(at, held)
-                    at, held = here, {}
-                if vertex[r] not in held:
-                    held[vertex[r]] = part[r], np.frombuffer(batch.column(5)[r].as_buffer(), _U).copy()
-        yield from done(at, held)
-
-    return met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(tidied(join), "a long, b long")
+            where = list(zip(*(batch.column(c).to_pylist() for c in range(len(keys))), strict=True))
+            side, vertex, shingles = (batch.column(len(keys) + c) for c in range(3))
+            for r, key in enumerate(zip(side.to_pylist(), vertex.to_pylist(), strict=True)):
+                if where[r] != at:
+                    yield from done(held)
+                    at, held = where[r], {}
+                if key not in held:
+                    held[key] = np.frombuffer(shingles[r].as_buffer(), _U).copy()
+        yield from done(held)
+
+    return members.select(*keys, "side", "vertex", "shingles").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(run), "a long, b long")
+
+
+def _large_links(sets: DataFrame, placed: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Links of blocks of several parts.
+
+    Each part is a tree.  Samples of its parts' largest components meet in a few more trees, with those of the first part in each, which joins the greater part of a
+    family of near copies.  What is then outside a block's largest component meets all of the block, a tree for each two parts; pairs within that
+    component needn't meet, as they are joined already.  A block of n sets, m of them outside, so moves about n * m / ``block_sets`` sets and not n * n / ``block_sets``.
+    """
+    one = cut(_trees(sets, percent))
+    comp = labelled(one).select("vertex", F.col("root").alias("comp"))
+    own = cut(named(placed.select("root", "part", "vertex"), comp, "vertex").withColumn("comp", F.coalesce("comp", "vertex")))
+    # a part has block_sets sets, so none of these windows is large
+    of_comp, of_part = Window.partitionBy("root", "part", "comp"), Window.partitionBy("root", "part")
+    sized = own.withColumn("n", F.count(F.lit(1)).over(of_comp)).withColumn("most", F.max_by("comp", F.struct("n", "comp")).over(of_part)).where("comp = most")
+    sample = sized.withColumn("k", F.row_number().over(of_part.orderBy(F.xxhash64("vertex"), "vertex"))).where(F.col("k") <= SAMPLE).select("root", "part", "vertex")
+    anchors = sample.where("part = 0")
+    each = max(1, block_sets // SAMPLE)  # parts whose samples fill a tree
+    trees = sample.select("root", F.expr(f"part div {each}").alias("part")).distinct()
+    meeting = sample.select("root", F.expr(f"part div {each}").alias("part"), "vertex").unionByName(trees.join(anchors.select("root", "vertex"), "root").select("root", "part", "vertex")).distinct()
+    known = sets.select("vertex", "shingles")
+    two = cut(_trees(meeting.join(known, "vertex").withColumn("side", F.lit(0)), percent))
+    comp = labelled(one.unionByName(two)).select("vertex", F.col("root").alias("comp"))
+    own = cut(named(placed.select("root", "part", "vertex"), comp, "vertex").withColumn("comp", F.coalesce("comp", "vertex")))
+    counts = cut(own.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")))
+    main = cut(counts.groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0").withColumn("pieces", F.ceil(F.col("outside") / block_sets)))
+    left = named(own, main, "root").where("pieces is not null").select("root", "part", "vertex", "pieces", (F.col("comp") != F.col("main")).alias("outside"))
+    with_sets = cut(left.join(known, "vertex"))
+    parts = cut(left.groupBy("root").agg((F.max("part") + 1).alias("parts")))
+    every = with_sets.withColumn("piece", F.explode(F.expr("sequence(0L, pieces - 1)"))).select("root", "part", "piece", F.lit(1).alias("side"), "vertex", "shingles")
+    outside = named(with_sets.where("outside"), parts, "root").withColumn("piece", F.pmod(F.xxhash64("vertex"), "pieces")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    three = _trees(every.unionByName(outside.select("root", "part", "piece", F.lit(0).alias("side"), "vertex", "shingles")), percent, "piece")
+    return one.unionByName(two).unionByName(three)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS, many: int = MANY) -> DataFrame:

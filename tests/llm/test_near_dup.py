@@ -58,6 +58,22 @@ def test_matches_brute_force(spark, size, percent, block_sets, many):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, size, percent)
 
 
+def test_large_blocks_with_few_samples(spark, monkeypatch):
+    """A family in parts whose samples hardly join, and chains across parts."""
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = [" ".join(base)]
+    for _ in range(40):  # each a change of one before: some are far from the first
+        w = rows[rnd.randrange(max(0, len(rows) - 4), len(rows))].split()
+        w[rnd.randrange(len(w))] = f"n{rnd.randrange(9)}"
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = N.near_duplicates(docs, size=4, percent=85, block_sets=4)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 85)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
