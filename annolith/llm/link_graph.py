@@ -119,7 +119,7 @@ def judge_urls(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str
     narrow = ruled.select("page_id", "host", "path", "rule", "rule_verdict")
     shares = narrow.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad"))
     seeds = shares.selectExpr("0 as kind", "host", f"{SCALE}L * good div n as seed").unionAll(shares.selectExpr("1 as kind", "host", f"{SCALE}L * bad div n as seed"))
-    part = f"cast(floor(cast(received as double) / even * {PARTS}) as long)"
+    part = f"cast(floor(try_divide(cast(received as double), even) * {PARTS}) as long)"
     passed = propagate(host_edges(seen, "html"), seeds, steps).where("even > 0").selectExpr("kind", "host", f"{part} as part")
     shared = seeds.selectExpr("kind", "host", f"seed div {SCALE // PARTS} as part").unionAll(passed)
     standing = cut(shared.groupBy("host").agg(F.coalesce(F.max(F.expr("if(kind = 0, part, null)")), F.lit(0)).alias("trust"), F.coalesce(F.max(F.expr("if(kind = 1, part, null)")), F.lit(0)).alias("distrust")))

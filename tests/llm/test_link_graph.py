@@ -119,3 +119,9 @@ def test_registered_query_over_linked_pages(spark, tmp_path):
     want = c.execute(ORACLE_SQL["op5_url_filter"])
     names = [d[0] for d in want.description]
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_pages_without_links(spark):
+    got = judged(spark, [(1, "http://a.net/x", None), (2, "http://b.io/x", "<a href='/y'>"), (3, "http://q.org/fr/x", "")])
+    assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "allow", 3: "allow"}
+    assert (got[1].distrust, got[2].distrust, got[3].trust) == (L.PARTS, 0, L.PARTS)
