@@ -101,7 +101,21 @@ def clip_half_plane(spark, sf_dir):
     return q.select("vec_id", F.expr("cast(size(q) as bigint)").alias("n"), _r("aggregate(q, 0D, (s, v) -> s + v.x)", 5).alias("sx"), _r("aggregate(q, 0D, (s, v) -> s + v.y)", 5).alias("sy"))
 
 
-@query()
+def _clipped_sql() -> str:
+    """Vertices sorted by angle, cut by the four half planes of a square one after another."""
+    parts = [_V, "s0 AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY atan2(y, x)) AS k, x, y FROM v)"]
+    for j, (c, other, op, bound) in enumerate((("x", "y", ">=", -0.1), ("x", "y", "<=", 0.1), ("y", "x", ">=", -0.1), ("y", "x", "<=", 0.1)), 1):
+        last = lambda z: f"coalesce(lag({z}) OVER (PARTITION BY vec_id ORDER BY k), arg_max({z}, k) OVER (PARTITION BY vec_id)) AS p{z}"
+        parts.append(f"p{j} AS (SELECT *, {last('x')}, {last('y')} FROM s{j - 1})")
+        at = f"p{other} + ({bound}::DOUBLE - p{c}) / ({c} - p{c}) * ({other} - p{other})"
+        cut = f"{bound}::DOUBLE AS x, {at} AS y" if c == "x" else f"{at} AS x, {bound}::DOUBLE AS y"
+        parts.append(f"s{j} AS (SELECT vec_id, 2 * k AS k, {cut} FROM p{j} WHERE ({c} {op} {bound}) <> (p{c} {op} {bound}) UNION ALL SELECT vec_id, 2 * k + 1, x, y FROM p{j} WHERE {c} {op} {bound})")
+    area = "round(abs(sum(x * py - px * y)) / 2, 9)"
+    parts.append(f"z AS (SELECT *, {last('x')}, {last('y')} FROM s4), a AS (SELECT vec_id, count(*) AS n, {area} AS area FROM z GROUP BY 1), b AS (SELECT vec_id, {area} AS source_area FROM p1 GROUP BY 1)")
+    return f"WITH {', '.join(parts)} SELECT b.vec_id, coalesce(n, 0) AS n, coalesce(area, 0) AS area, source_area FROM b LEFT JOIN a USING (vec_id)"
+
+
+@query(_clipped_sql())
 def clip_to_rect(spark, sf_dir):
     angle = "signum(atan2(a.y, a.x) - atan2(b.y, b.x))"  # sorted by angle, vertices make a star-shaped polygon
     stars = _polygons(spark, sf_dir).withColumn("p", F.expr(f"array_sort(p, (a, b) -> cast({angle} as int))"))
