@@ -40,7 +40,8 @@ ROUNDS = 25
 UNIT = 1 << 16
 #: Bytes that are read at once, however many languages there are.
 LEAST = 1 << 14
-MOST_LANGS = 500
+#: Each language takes a megabyte of the model, which is broadcast.
+MOST_LANGS = 200
 UNKNOWN = "und"
 _U = np.uint64
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)], dtype=bool)
