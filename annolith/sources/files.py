@@ -69,14 +69,16 @@ PREDICTION = "image_id string, file_name string, category_id double, score doubl
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, stem, category_id, score, bbox, segmentation as JSON) of a JSON array, in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("ordinal", "item"))
-    got = items.select("ordinal", F.from_json("item", PREDICTION).alias("p"), "item")
+    """(ordinal, stem, category_id, score, bbox, segmentation as JSON) of a JSON array, in file order; an error if it is no JSON.
+
+    An array can't be split, so one task streams it, a row for each element.
+    """
+    items = spark.read.schema(PREDICTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    got = items.select(F.monotonically_increasing_id().alias("ordinal"), F.struct(*items.columns).alias("p"))
     name = F.coalesce(F.when(F.col("p.file_name") != "", F.col("p.file_name")), F.concat(F.col("p.image_id"), F.lit(".jpg")))
     return got.select(
         "ordinal", stem(name).alias("stem"), F.col("p.category_id").cast("int").alias("category_id"), F.coalesce("p.score", F.lit(0.0)).alias("score"),
-        F.coalesce("p.bbox", F.array(*[F.lit(0.0)] * 4)).alias("bbox"), F.get_json_object("item", "$.segmentation").alias("segmentation"),
+        F.coalesce("p.bbox", F.array(*[F.lit(0.0)] * 4)).alias("bbox"), F.col("p.segmentation").alias("segmentation"),
     )
 
 
