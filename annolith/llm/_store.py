@@ -38,6 +38,20 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def swept(df: DataFrame) -> None:
+    """Let Spark delete shuffles and tables from ``cut`` that nothing refers to any more: its cleaner learns of these when the driver collects garbage."""
+    import gc
+    import time
+
+    gc.collect()
+    waiting = getattr(df.sparkSession.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    for _ in range(30):  # py4j tells Java within about a second what Python has let go
+        time.sleep(0.1)
+        if not waiting:
+            break
+    df.sparkSession._jvm.System.gc()
+
+
 #: Bytes that a Python worker gets at once (Spark's own default is 64 MB, of which several copies are in memory).
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -9,12 +9,14 @@ coordinate minima and verifies what survives on the sets themselves.  A tree is
 in one task's memory, so the points are dealt to trees first, by a lossless rule
 over the same kind of groups (``Dealer``): sets that link differ in few shingles, so they
 agree on all that several pairs of groups hold.  Sets
-that agree on enough belong to one *block* (transitively) and a block is one tree; a block of over ``block_sets`` sets is
-several, of which those that aren't joined yet meet all others.
+that agree on enough belong to one *block* (transitively) and a block is one tree.  The more sets there are, the more of them passages chain to one
+large block, so one of over ``block_sets`` sets is split by its rarest shingles first (``_rare_shingles``, lossless too); what is as large even then is
+several trees, of which those sets that aren't joined yet meet all others.
 
 What moves: narrow (document, set key) rows; 17 bytes for each signature of each
 distinct set, combined per task before the shuffle so that a signature that very many sets
-share is sent once per task; and, for sets in a block with another set only, the sets.  Copies are one set, so they are never expanded into pairs.
+share is sent once per task; for sets in a block with another set only, the sets; and, for those in large blocks, 20 bytes for each shingle and 22 back
+for each that another set of the block has.  Copies are one set, so they are never expanded into pairs.
 
 Cases: null texts, empty texts and texts without words have an empty set, link
 with nothing and are their own component.  Texts with fewer words than a shingle
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from annolith.llm import _bytes as B
 from annolith.llm import _sieve
-from annolith.llm._store import bounded, cut, forget, tidied
+from annolith.llm._store import bounded, cut, forget, swept, tidied
 from annolith.llm.components import labelled, named
 
 _U = np.uint64
@@ -363,6 +365,8 @@ def _candidate_edges(docs: DataFrame, size: int, percent: int, buckets: int, man
 
     sent = docs.select("text").mapInArrow(tidied(send), "bucket long, sig binary, key binary, wide binary")
     met = cut(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(meet), EDGES))
+    del sent
+    swept(docs)  # the signatures are the most that is ever shuffled
     star = met.where("wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
     others = cut(star.groupBy("a").agg(F.sum("n").alias("n")))
     pair = met.where("not wide").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -410,14 +414,118 @@ def _true_links(docs: DataFrame, blocks: DataFrame, size: int, percent: int, blo
         if rows:
             yield batch_of(rows)
 
-    large = cut(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_sets).select("root", F.ceil(F.col("n") / block_sets).alias("parts")))
-    placed = named(blocks, large, "root").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
+    placed, large = _placed(blocks, block_sets)
     sets = docs.select("text").mapInArrow(tidied(pick), "vertex long, shingles binary").join(placed, "vertex").select("root", "part", F.lit(0).alias("side"), "vertex", "shingles", "parts")
-    if not large.limit(1).count():
+    if not large:
         return _trees(sets, percent)
     sets = cut(sets)
     wide = cut(sets.where("parts > 1").dropDuplicates(["vertex"]))  # a set comes from each task that met it
-    return _trees(sets.where("parts = 1"), percent).unionByName(_large_links(wide, placed.where("parts > 1"), percent, block_sets))
+    small = cut(_trees(sets.where("parts = 1"), percent))
+    forget(sets)
+    del sets
+    swept(docs)
+    found = labelled(_rare_shingles(wide, percent)).join(wide.select("vertex"), "vertex")  # without the shingles themselves
+    placed, large = _placed(cut(found), block_sets)
+    finer = wide.select("vertex", "shingles").join(placed, "vertex").select("root", "part", F.lit(0).alias("side"), "vertex", "shingles", "parts")
+    if not large:
+        return small.unionByName(_trees(finer, percent))
+    finer = cut(finer)
+    forget(wide)
+    del wide
+    swept(docs)
+    return small.unionByName(_trees(finer.where("parts = 1"), percent)).unionByName(_large_links(finer.where("parts > 1"), placed.where("parts > 1"), percent, block_sets))
+
+
+def _placed(blocks: DataFrame, block_sets: int) -> tuple[DataFrame, bool]:
+    """(vertex, root, part, parts) of (vertex, root), and whether any block has several parts."""
+    large = cut(blocks.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_sets).select("root", F.ceil(F.col("n") / block_sets).alias("parts")))
+    placed = named(blocks, large, "root").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).select("vertex", "root", F.pmod("vertex", "parts").alias("part"), "parts")
+    return placed, large.limit(1).count() > 0
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges from sets to shingles, which connect all sets of a block that link: of (root, vertex, shingles), a written table with distinct vertices.
+
+    Shingles of a block are in one order, those that fewer of its sets have first.  A set of n shingles shares at least m = ceil(percent * n / 100) with what it links with, so
+    it and that share one of the first n - m + 1 of each.  Shingles that no other set has come first and connect nothing, so a set with over n - m of them drops
+    out: passages that many sets have don't connect sets whose other shingles are their own.
+    """
+    total = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
+    buckets = max(1, int(total / 8 * 20 / BUCKET_BYTES) + 1)
+    names, types = ["bucket", "shingle", "vertex", "n", "sets"], ["long", *["binary"] * 4]
+    of = [np.dtype(t) for t in (np.uint64, np.int64, np.uint32, np.uint16)]
+
+    def schema(columns: int) -> str:
+        return ", ".join(f"{c} {t}" for c, t in zip(names[: columns + 1], types, strict=False))
+
+    def message(to: np.ndarray, *arrays):
+        """A row for each bucket: the elements that go there."""
+        order = np.argsort(to, kind="stable")
+        to, arrays = to[order], [x[order] for x in arrays]
+        at = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+        for i in range(0, len(at) - 1, 4096):
+            part = list(zip(at[i : i + 4096], at[i + 1 : i + 4097], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(to[[a for a, _ in part]], pa.int64()), *[pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in arrays]], names[: len(arrays) + 1])
+
+    def gathered(batches):
+        """The arrays of each bucket."""
+        at, held = None, []
+        for batch in batches:
+            for bucket, *columns in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if bucket != at and held:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                at = bucket
+                held.append([np.frombuffer(x.as_buffer(), t).copy() for x, t in zip(columns, of, strict=False)])
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def to_shingles(batches):
+        held, bytes_held = [], 0
+
+        def flush():
+            x, vertex, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield from message((x % _U(buckets)).astype(np.int64), x, vertex, n)
+
+        for batch in batches:
+            for root, vertex, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = np.frombuffer(shingles.as_buffer(), _U)
+                with np.errstate(over="ignore"):
+                    x = B.mix(s + B.mix(np.array([root], np.int64).view(_U)))  # each block has shingles of its own
+                held.append((x, np.full(len(s), vertex, np.int64), np.full(len(s), len(s), np.uint32)))
+                bytes_held += 20 * len(s)
+                if bytes_held >= FLUSH_BYTES:
+                    yield from flush()
+                    held, bytes_held = [], 0
+        if held:
+            yield from flush()
+
+    def to_sets(batches):
+        for x, vertex, n in gathered(batches):
+            order = np.argsort(x, kind="stable")
+            x, vertex, n = x[order], vertex[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            size = np.diff(at, append=len(x))
+            rows = np.repeat(size, size)
+            more = rows > 1
+            yield from message((B.mix(vertex[more].view(_U)) % _U(buckets)).astype(np.int64), x[more], vertex[more], n[more], np.minimum(rows[more], 65535).astype(np.uint16))
+
+    def first(batches):
+        for x, vertex, n, rows in gathered(batches):
+            order = np.lexsort((x, rows, vertex))
+            x, vertex, n = x[order], vertex[order], n[order].astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], vertex[1:] != vertex[:-1]]))
+            shared = np.diff(at, append=len(x))
+            place = np.arange(len(x)) + np.repeat(n[at] - shared - at, shared)  # after those that no other set has
+            keep = place <= n - _ceil(percent * n, 100)
+            for i in range(0, int(keep.sum()), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep][i : i + (1 << 16)]) for c in (vertex, x.view(np.int64))], ["a", "b"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+    shingles = sets.select("root", "vertex", "shingles").mapInArrow(tidied(to_shingles), schema(3))
+    return dealt(dealt(shingles).mapInArrow(tidied(to_sets), schema(4))).mapInArrow(tidied(first), "a long, b long")
 
 
 def _trees(members: DataFrame, percent: int, *more: str) -> DataFrame:

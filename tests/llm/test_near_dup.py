@@ -74,6 +74,55 @@ def test_large_blocks_with_few_samples(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 85)
 
 
+def chained(n=60, family=14):
+    """Texts that share each half of their words with another one, and a family of near copies in the same chain."""
+    half = lambda i: [f"h{i}x{k}" for k in range(30)]
+    own = lambda i: [f"o{i}x{k}" for k in range(30)]
+    rows = [" ".join([*half(i), *own(i), *half(i + 1)]) for i in range(n)]
+    for i in range(family):
+        w = [*half(n), *own(n), *half(n + 1)]
+        w[3 * i] = "changed"
+        rows.append(" ".join(w))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_rare_shingles_connect_all_links(spark, percent):
+    rows = corpus(11, 20, 8) + [(1000 + i, t) for i, t in chained()]
+    keys = {d: N.set_key(s) for (d, t), s in zip(rows, N.shingle_sets(pa.array([t for _, t in rows]), 4), strict=True)}
+    sets = {keys[d]: s for (d, t), s in zip(rows, N.shingle_sets(pa.array([t for _, t in rows]), 4), strict=True)}
+    table = spark.createDataFrame([(5, k, bytearray(s.tobytes())) for k, s in sets.items()], "root long, vertex long, shingles binary").repartition(3)
+    found = {r.vertex: r.root for r in components(N._rare_shingles(table, percent)).collect()}
+    want = brute(rows, 4, percent)
+    family = {}
+    for d, _, c in want:
+        family.setdefault(c, set()).add(keys[d])
+    for members in family.values():
+        if len(members) > 1:
+            assert len({found[k] for k in members}) == 1
+    chain = [keys[1000 + i] for i in range(60)]
+    assert not set(chain) & set(found)  # a third of their shingles are their own
+
+
+def test_sets_chained_by_passages_are_not_compared_with_all(spark, monkeypatch):
+    """One block by its signatures, but only the near copies in it are left to meet all others."""
+    rows = chained()
+    monkeypatch.setattr(N, "_candidate_edges", lambda docs, size, *_: spark.createDataFrame([(N.set_key(s), 0) for s in N.shingle_sets(pa.array([t for _, t in rows]), size)], "a long, b long"))
+    met, large = [], N._large_links
+
+    def counted(sets, *more):
+        met.append(sets.count())
+        return large(sets, *more)
+
+    monkeypatch.setattr(N, "_large_links", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block_sets, most in ((20, []), (5, [14])):
+        met.clear()
+        got = N.near_duplicates(docs, size=4, percent=80, block_sets=block_sets)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 80)
+        assert met == most
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
