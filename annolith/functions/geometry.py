@@ -141,6 +141,13 @@ def clip_to_rect(polygons: pd.Series, rects: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+@arrow_udf(POINTS)
+def cut_to_rect(polygons: pd.Series, rects: pd.Series) -> pd.Series:
+    """What four half planes leave of a polygon, where ``clip_to_rect`` gives nothing unless that is one simple polygon."""
+    out = [None if p is None or r is None else [{"x": x, "y": y} for x, y in K.cut(_points_of(p), r).tolist()] for p, r in zip(polygons, rects, strict=True)]
+    return pd.Series(out, dtype=object)
+
+
 @arrow_udf("boolean")
 def touches_rect(polygons: pd.Series, rects: pd.Series) -> pd.Series:
     """Whether a polygon and a rectangle have a point in common."""
