@@ -49,6 +49,7 @@ def swept(df: DataFrame) -> None:
         time.sleep(0.1)
         if not waiting:
             break
+    df.sparkSession.range(1).count()  # the scheduler and the listeners hold on to the last job until they see another
     df.sparkSession._jvm.System.gc()
 
 
